@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def scores(expected: DataFrame, ranking: DataFrame, questions: DataFrame, rank: str = "rank") -> DataFrame:
-    """``query_id, recall, mrr, hit`` of every question; zeros where nothing is expected or found.
+def scores(expected: DataFrame, ranking: DataFrame, questions: DataFrame, **ranks: str) -> DataFrame:
+    """``query_id, recall, hit`` of every question and, for each of ``ranks`` (name to column), the
+    reciprocal of the best rank of an expected document; zeros where nothing is expected or found.
 
-    ``expected(query_id, doc_id)``, ``ranking(query_id, doc_id, <rank>)``."""
+    ``expected(query_id, doc_id)``, ``ranking(query_id, doc_id, <rank columns>)``."""
+    ranks = ranks or {"mrr": "rank"}
     want = expected.groupBy("query_id").agg(F.count("*").alias("n"))
-    found = expected.join(ranking, ["query_id", "doc_id"]).groupBy("query_id").agg(F.count_distinct("doc_id").alias("f"), F.min(rank).alias("first"))
+    best = [F.min(c).alias(f"__{name}") for name, c in ranks.items()]
+    found = expected.join(ranking, ["query_id", "doc_id"]).groupBy("query_id").agg(F.count_distinct("doc_id").alias("f"), *best)
     out = questions.select("query_id").join(want, "query_id", "left").join(found, "query_id", "left")
     f = F.coalesce("f", F.lit(0))
-    return out.select("query_id", F.coalesce(F.round(f / F.nullif(F.col("n"), F.lit(0)), 6), F.lit(0.0)).alias("recall"), F.coalesce(F.round(1 / F.col("first"), 6), F.lit(0.0)).alias("mrr"), (f > 0).cast("int").alias("hit"))
+    recall = F.coalesce(F.round(f / F.nullif(F.col("n"), F.lit(0)), 6), F.lit(0.0))
+    return out.select("query_id", recall.alias("recall"), *[F.coalesce(F.round(1 / F.col(f"__{name}"), 6), F.lit(0.0)).alias(name) for name in ranks], (f > 0).cast("int").alias("hit"))
 
 
 def by_category(scored: DataFrame, categories: DataFrame) -> DataFrame:

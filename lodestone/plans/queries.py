@@ -109,11 +109,11 @@ def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.neighbours(lines.groupBy("document").agg(longest), lines, 2)
 
 
-@query(f"WITH {r.HYBRID}, e AS (SELECT query_id, doc_id FROM vq JOIN ed USING (label)), v AS (SELECT query_id, min(rank) AS f FROM vdr JOIN e USING (query_id, doc_id) WHERE rank <= 50 GROUP BY query_id), k AS (SELECT query_id, min(rank) AS f FROM kwr JOIN e USING (query_id, doc_id) WHERE rank <= 50 GROUP BY query_id) SELECT query_id, 'vector' AS retriever, CAST(v.f AS INTEGER) AS first_rank FROM vq LEFT JOIN v USING (query_id) UNION ALL SELECT query_id, 'keyword', CAST(k.f AS INTEGER) FROM vq LEFT JOIN k USING (query_id)")
+@query(f"WITH {r.HYBRID}, e AS (SELECT query_id, doc_id FROM vq JOIN ed USING (label)), v AS (SELECT query_id, min(rank) AS f FROM vdr JOIN e USING (query_id, doc_id) WHERE rank <= 50 GROUP BY query_id), k AS (SELECT query_id, min(rank) AS f FROM kwr JOIN e USING (query_id, doc_id) WHERE rank <= 50 GROUP BY query_id) SELECT query_id, 'vector' AS retriever, coalesce(CAST(v.f AS INTEGER), 0) AS first_rank FROM vq LEFT JOIN v USING (query_id) UNION ALL SELECT query_id, 'keyword', coalesce(CAST(k.f AS INTEGER), 0) FROM vq LEFT JOIN k USING (query_id)")
 def diagnostic_rank(spark: SparkSession, d: str) -> DataFrame:
     asked, near, words = _lists(spark, d, 50, 50)
     expected = _expected(spark, d)
-    one = lambda df, name: retrieve.first_ranks(df, expected, asked).select("query_id", F.lit(name).alias("retriever"), "first_rank")
+    one = lambda df, name: retrieve.first_ranks(df, expected, asked).select("query_id", F.lit(name).alias("retriever"), F.coalesce("first_rank", F.lit(0)).alias("first_rank"))
     return one(near, "vector").unionByName(one(words, "keyword"))
 
 
@@ -433,9 +433,7 @@ _EVAL = f"WITH {r.HYBRID}, {r.RERANK}, {_SCORES}"
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    asked, hits, expected = r.vector_questions(spark, d), _reranked(spark, d), _expected(spark, d)
-    reading = evaluate.scores(expected, hits, asked, "reading_rank").select("query_id", F.col("mrr").alias("mrr_reading"))
-    return evaluate.scores(expected, hits, asked, "relevance_rank").join(reading, "query_id")
+    return evaluate.scores(_expected(spark, d), _reranked(spark, d), r.vector_questions(spark, d), mrr="relevance_rank", mrr_reading="reading_rank")
 
 
 @query(f"{_EVAL} SELECT query_id, recall, mrr, mrr_reading, hit FROM s")
