@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .common import ensure_workers, materialise
 
 ROLES = ("system", "user", "assistant")
@@ -29,7 +30,7 @@ NAMES = {"system": ("system", "instructions"), "user": ("user", "human", "questi
 _ROLE_OF = {n: ROLES.index(r) for r, ns in NAMES.items() for n in ns}
 _MARKER = re.compile(r"\s*(?:#{1,3}\s*|\*\*|<\|(?:im_start\|>)?|\[)?(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")(?:\*\*:|:\*\*|\|>|\]:?|:)(?:\s|$)\s*", re.IGNORECASE)
 SEGMENT = 512
-#: Of a hundred turns, how many lack a marker, and of a hundred inner lines, how many look like one.
+#: Share of turns without a marker where nothing is known of it, and of inner lines that look like one.
 UNMARKED, FALSE_MARK = 0.1, 0.002
 FEATURES = 24
 
@@ -52,16 +53,16 @@ def feature(line: str) -> int:
 class Model:
     """Log probabilities: start, transition between line states, features of a line by state."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, look: np.ndarray):
+    def __init__(self, start: np.ndarray, move: np.ndarray, look: np.ndarray, unmarked: float = UNMARKED):
         norm = lambda x: np.log(x / x.sum(-1, keepdims=True))
         self.start, self.move, self.look = norm(start), norm(move), norm(look)
         n = len(ROLES)
         mark = np.empty((len(STATES), n + 1))  # column n: no marker
         for s, (r, begins) in enumerate(STATES):
-            miss = (1 - UNMARKED) * 0.02 / (n - 1) if begins else FALSE_MARK / n
-            mark[s] = [*[miss] * n, UNMARKED if begins else 1 - FALSE_MARK]
+            miss = (1 - unmarked) * 0.02 / (n - 1) if begins else FALSE_MARK / n
+            mark[s] = [*[miss] * n, unmarked if begins else 1 - FALSE_MARK]
             if begins:
-                mark[s, r] = (1 - UNMARKED) * 0.98
+                mark[s, r] = (1 - unmarked) * 0.98
         self.mark = np.log(mark)
 
     def emit(self, lines: list[str]) -> np.ndarray:
@@ -106,9 +107,10 @@ def default_model() -> Model:
     return Model(start, move, np.ones((6, FEATURES)))
 
 
-def fit(turns: DataFrame) -> Model:
+def fit(turns: DataFrame, unmarked: float | None = None) -> Model:
     """Count starts, changes of role and line features over all role-marked turns; what comes back is
-    a fixed number of cells. A turn follows the one numbered one less; null turns only give lines."""
+    a fixed number of cells. A turn follows the one numbered one less; null turns only give lines.
+    ``unmarked``: share of turns whose marker is missing; the share without a role by default."""
     ensure_workers(turns.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +124,15 @@ def fit(turns: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in cells], pa.string()), pa.array([k[1] for k in cells], pa.int32()), pa.array([k[2] for k in cells], pa.int32()), pa.array(list(cells.values()), pa.int64())], names=["what", "i", "j", "n"])
 
     known = turns.where(F.col("role").isin(*ROLES))
-    looks = known.select("role", "text").mapInArrow(run, "what string, i int, j int, n bigint").groupBy("what", "i", "j").agg(F.sum("n").alias("n")).collect()
+    looks = known.select("role", "text").mapInArrow(tk.lean(run), "what string, i int, j int, n bigint").groupBy("what", "i", "j").agg(F.sum("n").alias("n")).collect()
     seat = known.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role").distinct()
     after = seat.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("prev"))
     moves = seat.join(after, ["conv_id", "turn"], "left").groupBy("prev", "role").count().collect()
     if not looks:
         return default_model()
+    if unmarked is None:
+        n, bare = turns.agg(F.count("*"), F.count_if(F.col("role").isNull())).first()
+        unmarked = (bare + 1) / (n + 2)
     start, look, turn, inner = np.full(6, 0.05), np.full((6, FEATURES), 0.5), np.full((3, 3), 0.5), np.full((3, 2), 0.5)
     for c in looks:
         (look if c.what == "look" else inner)[c.i, c.j] += c.n
@@ -142,7 +147,7 @@ def fit(turns: DataFrame) -> Model:
         move[s, r * 2 + 1] = stay
         for o in range(3):
             move[s, o * 2] = (1 - stay) * turn[r, o] / turn[r].sum()
-    return Model(start, move, look)
+    return Model(start, move, look, unmarked)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], cols: tuple[str, ...]):
@@ -196,8 +201,8 @@ def parse(chunks: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
             at = at[::-1]
             yield pa.RecordBatch.from_arrays([pa.array([conv] * len(rs), pa.int64()), pa.array([r[0] for r in rs], pa.int64()), pa.array([None, *at[:-1]], pa.int32()), pa.array(at, pa.int32())], names=["conv_id", "seg", "before", "after"])
 
-    m = cut.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "pos", "text").mapInArrow(matrices, "conv_id bigint, seg bigint, m binary")
-    fixed = m.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(ends, "conv_id bigint, seg bigint, before int, after int")
+    m = cut.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "pos", "text").mapInArrow(tk.lean(matrices), "conv_id bigint, seg bigint, m binary")
+    fixed = m.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(tk.lean(ends), "conv_id bigint, seg bigint, before int, after int")
     joined = rows.join(fixed, rows.conv_id.eqNullSafe(fixed.conv_id) & (rows.seg == fixed.seg), "left").select(rows.conv_id, rows.seg, "pos", "text", "before", "after")
 
     def decode(batches):
@@ -219,7 +224,7 @@ def parse(chunks: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
             n = len(parts)
             yield pa.RecordBatch.from_arrays([pa.array([conv] * n, pa.int64()), pa.array([seg] * n, pa.int64()), pa.array(begun, pa.int64()), pa.array([ROLES[r] for r in roles], pa.string()), pa.array(["\n".join(p) for p in parts], pa.string())], names=["conv_id", "seg", "begun", "role", "piece"])
 
-    pieces = joined.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "pos", "text").mapInArrow(decode, "conv_id bigint, seg bigint, begun bigint, role string, piece string")
+    pieces = joined.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "pos", "text").mapInArrow(tk.lean(decode), "conv_id bigint, seg bigint, begun bigint, role string, piece string")
     pieces = materialise(pieces, "turns")
     # turns begun in earlier segments of the conversation: a row per segment
     ahead = Window.partitionBy("conv_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)

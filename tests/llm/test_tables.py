@@ -118,7 +118,7 @@ def test_long_talk_equals_one_viterbi(spark):
     turns = talk(1, 60, 0.7)
     chunks = [(1, i, (f"{r.capitalize()}: " if m else "") + t) for i, (r, t, m) in enumerate(turns)]
     df = spark.createDataFrame(chunks, "conv_id bigint, turn bigint, text string")
-    model = chat.fit(spark.createDataFrame([(1, i, r, t) for i, (r, t, _) in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string"))
+    model = chat.fit(spark.createDataFrame([(1, i, r, t) for i, (r, t, _) in enumerate(turns)], "conv_id bigint, turn bigint, role string, text string"), unmarked=0.3)
     rows = lambda d: [(r.turn_no, r.role, r.content) for r in d.orderBy("turn_no").collect()]
     whole, cut = rows(chat.parse(df, model)), rows(chat.parse(df, model, segment=7))
     assert whole == cut
