@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import english
+
 # Weights of the content, the section and the title of a chunk.
 WEIGHTS = {"content": 1.0, "section": 0.4, "title": 0.2}
 
@@ -23,6 +28,23 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+MEMORY_WORDS = 200_000
+
+
+@F.pandas_udf("array<string>")
+def _english(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    memory: dict[str, str] = {}
+    for s in texts:
+        yield s.map(lambda t: english.analyse(t or "", memory))
+        if len(memory) > MEMORY_WORDS:
+            memory.clear()
+
+
+def english_tokens(text: Column) -> Column:
+    """The English analyser: the simple one's words without stop words, stemmed."""
+    return _english(F.coalesce(text, F.lit("")))
+
+
 def log_length(n: Column) -> Column:
     return F.log(n + F.lit(1.0))
 
@@ -31,14 +53,15 @@ def _weighted(terms: Column, weight: float) -> Column:
     return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
 
 
-def ranked(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], key: str = "doc_id", scope: Column | None = None, normaliser=log_length) -> DataFrame:
+def ranked(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], key: str = "doc_id", scope: Column | None = None, normaliser=log_length, analyser: Callable[[Column], Column] = tokens) -> DataFrame:
     """``query_id, key, score, rank``: the ``k`` best documents of each of ``queries(query_id, terms)``.
 
     ``fields``: column to weight. Score: the weights of all occurrences of the query's terms over
     ``normaliser`` of the number of tokens. A query without terms has no rows. ``scope``: a condition
     on columns of docs and queries, kept through ``docs`` columns scope_* and queries columns q_*.
+    ``terms`` must have come from the same ``analyser`` as the documents.
     """
-    every = F.concat(*[_weighted(tokens(F.col(c)), w) for c, w in fields.items()])
+    every = F.concat(*[_weighted(analyser(F.col(c)), w) for c, w in fields.items()])
     extra = [c for c in docs.columns if c.startswith("scope_")]
     rows = docs.select(key, *extra, every.alias("__t")).select(key, *extra, F.size("__t").alias("n"), F.explode("__t").alias("t"))
     wanted = queries.select("query_id", *[c for c in queries.columns if c.startswith("q_")], F.explode("terms").alias("term"))

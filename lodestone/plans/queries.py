@@ -17,6 +17,7 @@ from ..session import ensure_workers, table
 from ..sources import connector
 from ..sources import files as src
 from ..streaming import sync_stream as stream
+from . import ingest
 from . import relations as r
 from . import samples
 
@@ -75,6 +76,12 @@ def keyword_weighted(spark: SparkSession, d: str) -> DataFrame:
     return keyword.ranked(docs, r.questions(spark, d), 75, {"text": w["content"], "source": w["section"], "title": w["title"]})
 
 
+@query()
+def keyword_english(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(keyword.english_tokens(F.col("text"))).alias("terms"))
+    return keyword.ranked(table(spark, d, "documents").select("doc_id", "text"), asked, 75, {"text": 1.0}, analyser=keyword.english_tokens)
+
+
 # -- hybrid
 
 
@@ -306,6 +313,14 @@ def json_partition(spark: SparkSession, d: str) -> DataFrame:
     return chunk._flat_map(docs, ["order_key"], "part int, parts int, content string", cut).drop("text")
 
 
+@query()
+def ingest_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The sample files taken in whole: classified, chunked, embedded."""
+    files = spark.createDataFrame(samples.FILES, "path string, content string")
+    _, chunks = ingest.plan(files, "samples")
+    return chunks.select("document_id", "chunk_index", "content", F.size("embedding").alias("width"))
+
+
 # -- conversations
 
 

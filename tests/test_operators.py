@@ -179,3 +179,26 @@ def test_listing_source(spark):
     connector.REGISTRY["memory"] = Memory
     reader = source.reader(source.schema())
     assert [r[0] for p in reader.partitions() for r in reader.read(p)] == ["f0", "f1"]
+
+
+def test_ingest_and_store(spark, tmp_path):
+    from lodestone.plans import ingest
+    from lodestone.sources import store
+
+    root = tmp_path / "in"
+    (root / "runbooks").mkdir(parents=True)
+    (root / "runbooks" / "a.md").write_text("Words. " * 900)
+    (root / "b.py").write_text("def f():\n    return 1\n")
+    (root / "list.csv").write_text("k,v\n1,a\n2,b\n")
+    (root / "empty.md").write_text("")
+    (root / "c.zip").write_text("z")
+    documents, chunks, refused = ingest.directory(spark, str(root), "drive")
+    assert sorted(r.reason for r in refused.collect()) == ["unsupported type"]  # Spark's scan leaves empty files out
+    store.write_corpus(documents, chunks, str(tmp_path / "out"))
+    docs, parts = store.read_corpus(spark, str(tmp_path / "out"))
+    got = {r.title: (r.metadata["format"], r.metadata["doc_type"], int(r.metadata["num_elements"])) for r in docs.collect()}
+    assert got == {"a.md": ("prose", "runbook", 3), "b.py": ("python", "code", 1), "list.csv": ("csv", "generic", 2)}
+    assert parts.count() == 6 and parts.where("size(embedding) <> 64").count() == 0
+    assert parts.where("content like '[Document: a.md | Source: drive | Part 1 of 3]%'").count() == 1
+    store.write_report(docs.select("title"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 3
