@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import english
 
@@ -31,7 +32,7 @@ def tokens(text: Column) -> Column:
 MEMORY_WORDS = 200_000
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _english(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     memory: dict[str, str] = {}
     for s in texts:
