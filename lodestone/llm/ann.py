@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .common import ensure_workers
 
 K = 5
@@ -191,9 +192,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, column: str = "e
         held += x.nbytes
     out = None
     for block in blocks:
-        part = vectors.select("vec_id", column).mapInArrow(_tiles(block, k, column), "query_id bigint, vec_id bigint, score double")
+        part = vectors.select("vec_id", column).mapInArrow(tk.lean(_tiles(block, k, column)), "query_id bigint, vec_id bigint, score double")
         out = part if out is None else out.union(part)
-    return out.repartition("query_id").mapInArrow(_merge(k), "query_id bigint, rank int, vec_id bigint, score double")
+    return out.repartition("query_id").mapInArrow(tk.lean(_merge(k)), "query_id bigint, rank int, vec_id bigint, score double")
 
 
 def report(vectors: DataFrame) -> DataFrame:

@@ -189,7 +189,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     carry = out.columns
     schema = T.StructType([*out.schema.fields, *T._parse_datatype_string(FOUND).fields])
     for block in blocks:
-        out = out.mapInArrow(_pass(block, window, text, carry), schema)
+        out = out.mapInArrow(tk.lean(_pass(block, window, text, carry)), schema)
     return out.select(*keep, "n_words", "hit_spans", "hit_items")
 
 

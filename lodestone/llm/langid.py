@@ -148,7 +148,7 @@ def fit(docs: DataFrame, usable=None, max_texts: int = MAX_FIT_TEXTS, k: int = C
                 yield pa.RecordBatch.from_arrays([pa.array([langs[lo + i] for i in keep], pa.string()), pa.array([np.minimum(counts[i], 65535).astype(np.uint16).tobytes() for i in keep], pa.binary())], names=["lang", "x"])
 
     found: dict[str, list[np.ndarray]] = {}
-    for r in drawn.select("lang", "text").mapInArrow(run, "lang string, x binary").collect():
+    for r in drawn.select("lang", "text").mapInArrow(tk.lean(run), "lang string, x binary").collect():
         own = found.setdefault(r.lang, [])
         if len(own) < 2 * max_texts:
             own.append(np.frombuffer(r.x, np.uint16).astype(np.float32))
@@ -175,7 +175,7 @@ def apply(docs: DataFrame, model: Centroids, keep: list[str] | None = None, text
                 rejects.append(r)
             yield tk.replace_columns(b, keep, lang_pred=pa.array(langs, pa.string()), score=pa.array(np.concatenate(scores), pa.float64()), rejected=pa.array(np.concatenate(rejects)))
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(tk.lean(run), schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

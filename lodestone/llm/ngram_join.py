@@ -219,7 +219,7 @@ def _resolved(docs: DataFrame) -> DataFrame:
     the least row (with an id, if any has one) of all that are joined with this one."""
     ensure_workers(docs.sparkSession)
     base = docs.select("doc_id", "text", *_text_hash())
-    feats = materialise(base.mapInArrow(_features, "doc_id bigint, th1 bigint, th2 bigint, cid binary, n_shingles bigint, bands array<bigint>"), "shingles")
+    feats = materialise(base.mapInArrow(tk.lean(_features), "doc_id bigint, th1 bigint, th2 bigint, cid binary, n_shingles bigint, bands array<bigint>"), "shingles")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th1", "th2")
     # candidate groups work on the first half of the class key: a clash there only widens a group
     half = F.conv(F.hex(F.substring("cid", 1, 8)), 16, -10).cast("bigint")
@@ -237,7 +237,7 @@ def _resolved(docs: DataFrame) -> DataFrame:
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi"), (F.col("block") > o).cast("int").alias("side")))
     rows = rows.withColumn("meet", F.explode(meets)).select(F.xxhash64("component", "meet.lo", "meet.hi").alias("task"), "cid", "members", "meet.side", "text", (F.col("meet.lo") == F.col("meet.hi")).alias("alone"))
     rows = rows.repartition("task").sortWithinPartitions("task")
-    found = materialise(rows.mapInArrow(_compare, "cid binary, peer binary, links bigint"), "links")
+    found = materialise(rows.mapInArrow(tk.lean(_compare), "cid binary, peer binary, links bigint"), "links")
     tree = components(found.where("peer is not null").select(F.hex("cid").alias("a"), F.hex("peer").alias("b")))
     degree = found.groupBy("cid").agg(F.sum("links").alias("links"))
     per_class = classes.select("cid", "rep", "members").join(degree, "cid", "left").join(tree, F.hex("cid") == F.col("node"), "left")

@@ -130,7 +130,7 @@ def _matrix(df: DataFrame) -> np.ndarray:
             x = features(tk.column_bytes(b, "text"))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
 
-    rows = df.select("text").mapInArrow(run, "x binary").collect()
+    rows = df.select("text").mapInArrow(tk.lean(run), "x binary").collect()
     return np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), DIMS)
 
 
@@ -180,7 +180,7 @@ def apply(docs: DataFrame, model: Scorer | None, keep: list[str] | None = None,
             s = np.full(len(texts), 0.5) if model is None else model.score(features(texts))
             yield tk.replace_columns(b, keep, score=pa.array(s, pa.float64()), predicted=pa.array((s >= 0.5).astype(np.int32)))
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(tk.lean(run), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

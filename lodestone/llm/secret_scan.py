@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .common import ensure_workers, materialise
 
 RULES_VERSION = "base-1"
@@ -73,7 +74,7 @@ def unseen(paths: DataFrame, ledger: DataFrame | None, rules: str = RULES_VERSIO
 def update(paths: DataFrame, ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> DataFrame:
     """The entries to add to the ledger, written to the shared folder: one per unseen blob."""
     ensure_workers(paths.sparkSession)
-    return materialise(unseen(paths, ledger, rules).mapInArrow(_scan_blobs(rules), LEDGER), "ledger")
+    return materialise(unseen(paths, ledger, rules).mapInArrow(tk.lean(_scan_blobs(rules)), LEDGER), "ledger")
 
 
 def findings(paths: DataFrame, ledger: DataFrame, rules: str = RULES_VERSION, keep: list[str] | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import textkit as tk
 from .common import discard, ensure_workers, materialise
 
 SHARDS = 40
@@ -56,7 +57,7 @@ def _ranged(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
             r = range_of(cuts, *(b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in KEY))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r.astype(np.int32))], names=[*names, "range"])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("range", T.IntegerType())]))
+    return rows.mapInArrow(tk.lean(run), T.StructType([*rows.schema.fields, T.StructField("range", T.IntegerType())]))
 
 
 def _draw(rows: DataFrame, total: int, want: int, seed: int) -> list:

@@ -7,7 +7,9 @@ more, so the rule holds byte by byte.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,3 +133,23 @@ def slices(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 def replace_columns(batch: pa.RecordBatch, keep: list[str], **new: pa.Array) -> pa.RecordBatch:
     cols = {k: batch.column(batch.schema.get_field_index(k)) for k in keep} | new
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run`` as a task that leaves no memory with its worker, which lives on for later tasks."""
+
+    def task(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:  # another C library frees in its own way
+                pass
+
+    return task
