@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from ..functions import headers, jsonparts
 from ..functions import tables as t
 from ..functions import structure
 from ..operators import chat, chunk, context, evaluate, keyword, models, retrieve, sync, vector
-from ..session import ensure_workers, table
+from ..session import ensure_workers, shared_dir, table
 from ..sources import connector
 from ..sources import files as src
 from ..streaming import sync_stream as stream
@@ -416,7 +415,7 @@ def sync_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(_SYNC)
 def sync_stream(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")).rstrip("/") + "/sync-" + uuid.uuid4().hex
+    root = f"{shared_dir(spark)}/sync-{uuid.uuid4().hex}"
     listings = spark.readStream.schema(orders.schema).option("pathGlobFilter", "orders.parquet").parquet(d)
     return stream.run_available(spark, _listing(listings), _stored(spark, d), root + "/out", root + "/state")
 

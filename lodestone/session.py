@@ -1,19 +1,38 @@
-"""Worker set-up for code that runs from a source tree."""
+"""Worker set-up, the shared folder, and tables."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of a batch sent to a Python worker, so that long texts do not pile up in one.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
 
 def ensure_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package."""
+    """Let Python workers import this package when it runs from a source tree, and bound what they get."""
     root = str(Path(__file__).resolve().parents[1])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's shared folder; one of our own, gone at exit, only where the setting is absent (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        own = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        where = "file://" + own
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
