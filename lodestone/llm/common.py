@@ -1,31 +1,15 @@
-"""Shared plumbing: durable intermediate tables, worker set-up, connected components."""
+"""Shared plumbing: durable intermediate tables, connected components, clashing names."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_workers, shared_dir, table
 
-def ensure_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package when it runs from a source tree."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if root not in paths:
-        env["PYTHONPATH"] = ":".join([root, *paths])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where the setting is absent (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lodestone-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+__all__ = ["components", "discard", "ensure_workers", "materialise", "new_path", "packed", "shared_dir", "table", "unpacked"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -54,16 +38,6 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ensure_workers(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def batch_schema(df: DataFrame, *names: str) -> str:
-    """DDL of some columns of ``df``."""
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema)
-
-
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``.
 
