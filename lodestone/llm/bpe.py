@@ -7,9 +7,11 @@ the lists of the pairs that appear are extended. Words met before are taken from
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -19,9 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from . import textkit as tk
 from .common import ensure_workers
 
-MEMORY_WORDS = 200_000
+MEMORY_WORDS = 600_000
 BATCH_CHARS = 1 << 20
 END = "</w>"
 # Fixed value: the pre-tokenizer's pattern of this vocabulary; white space is Unicode White_Space.
@@ -47,23 +50,32 @@ class WordBpe:
         self.token = dict((i, t) for t, i in vocab.items())
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token |= {i: t for t, i in self.special.items()}
-        self.merge: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[int, int] = {}  # by both ids of a pair in one number
+        self.pair: list[tuple[int, int, int]] = []  # by rank: the pair and what it becomes
         born: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             ids = vocab[a], vocab[b]
             if any(born.get(x, -1) > rank for x in ids):
                 raise ValueError("a merge uses a symbol that a later merge makes; ranks don't ascend")
-            self.merge[ids] = (rank, vocab[a + b])
+            self.rank[ids[0] << 32 | ids[1]] = rank
+            self.pair.append((*ids, vocab[a + b]))
             born.setdefault(vocab[a + b], rank)
-        self.merge_by_rank = {r: (p, new) for p, (r, new) in self.merge.items()}
         sym = byte_symbols()
-        self.inner = [vocab.get(s) for s in sym]
-        self.last = [vocab.get(s + END) for s in sym]
+        if any(s not in vocab or s + END not in vocab for s in sym):
+            raise ValueError("the vocabulary lacks a byte")
+        self.inner = np.array([vocab[s] for s in sym], np.int64)
+        self.last = np.array([vocab[s + END] for s in sym], np.int64)
+        self.keys = np.array(sorted(self.rank), np.int64)
+        self.key_rank = np.array([self.rank[k] for k in self.keys.tolist()], np.int64)
         self.split = regex.compile(PATTERN)
-        self.ascii_split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d a-z0-9]+")
+        self.ascii_split = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\x09-\x0d a-z0-9]+")  # the same on ASCII
         self.stops = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.known: dict[str, tuple[bytes, int, str]] = {}
+        self.ids_of: dict[str, bytes] = {}
+        self.text_of: dict[str, str] = {}
+
+    def forget(self) -> None:
+        self.ids_of, self.text_of = {}, {}
 
     def words(self, text: str) -> list[str]:
         """Pre-tokens of a text without special tokens."""
@@ -73,59 +85,72 @@ class WordBpe:
         # every character is lowered on its own: a final sigma stays a plain one
         return self.split.findall(text.replace("Σ", "σ").lower())
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word by the pair occurrence index over all of them."""
-        sym: list[int] = []
-        bounds = []
-        for w in words:
-            raw = w.encode("utf-8", "surrogatepass")
-            ids = [self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]] if raw else []
-            bounds.append((len(sym), len(sym) + len(ids)))
-            sym += [i for i in ids if i is not None]
-            bounds[-1] = (bounds[-1][0], len(sym))
-        n = len(sym)
-        prev, nxt = list(range(-1, n - 1)), list(range(1, n + 1))
-        for a, b in bounds:
-            if a < b:
-                prev[a], nxt[b - 1] = -1, -1
-        where: dict[int, list[int]] = {}
-        merge = self.merge
-        for i in range(n):
-            j = nxt[i]
-            if j >= 0:
-                m = merge.get((sym[i], sym[j]))
-                if m is not None:
-                    where.setdefault(m[0], []).append(i)
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words by the pair occurrence index over them, and where each word's begin."""
+        raws = [w.encode("utf-8", "surrogatepass") for w in words]
+        bounds = np.zeros(len(words) + 1, np.int64)
+        np.cumsum([len(r) for r in raws], out=bounds[1:])
+        flat = np.frombuffer(b"".join(raws), np.uint8)
+        n = len(flat)
+        coded = self.inner[flat]
+        coded[bounds[1:] - 1] = self.last[flat[bounds[1:] - 1]]
+        after = np.arange(1, n + 1)
+        after[bounds[1:] - 1] = -1
+        before = np.arange(-1, n - 1)
+        before[bounds[:-1]] = -1
+        rank_of, pair = self.rank.get, self.pair
+        where = self._occurrences(coded, after)
+        sym, nxt, prev = coded.tolist(), after.tolist(), before.tolist()
         active = list(where)
         heapq.heapify(active)
         while active:
             rank = heapq.heappop(active)
-            (a, b), new = self.merge_by_rank[rank]
-            for i in sorted(where.pop(rank)):  # left to right, as overlaps are resolved
-                if sym[i] != a:
-                    continue
+            a, b, new = pair[rank]
+            places = where.pop(rank)
+            if a == b:
+                places.sort()  # overlaps are resolved from the left
+            for i in places:
                 j = nxt[i]
-                if j < 0 or sym[j] != b:
+                if j < 0 or sym[i] != a or sym[j] != b:
                     continue
                 sym[i], sym[j] = new, -1
                 k = nxt[i] = nxt[j]
                 if k >= 0:
                     prev[k] = i
-                    m = merge.get((new, sym[k]))
-                    if m is not None:
-                        if m[0] not in where:
-                            where[m[0]] = []
-                            heapq.heappush(active, m[0])
-                        where[m[0]].append(i)
+                    r = rank_of(new << 32 | sym[k])
+                    if r is not None:
+                        if r in where:
+                            where[r].append(i)
+                        else:
+                            where[r] = [i]
+                            heapq.heappush(active, r)
                 h = prev[i]
                 if h >= 0:
-                    m = merge.get((sym[h], new))
-                    if m is not None:
-                        if m[0] not in where:
-                            where[m[0]] = []
-                            heapq.heappush(active, m[0])
-                        where[m[0]].append(h)
-        return [[s for s in sym[a:b] if s >= 0] for a, b in bounds]
+                    r = rank_of(sym[h] << 32 | new)
+                    if r is not None:
+                        if r in where:
+                            where[r].append(h)
+                        else:
+                            where[r] = [h]
+                            heapq.heappush(active, r)
+        left = np.array(sym, np.int64)
+        kept = left >= 0
+        ends = np.concatenate(([0], np.cumsum(kept)))[bounds]
+        return left[kept].astype("<u4"), ends
+
+    def _occurrences(self, sym: np.ndarray, after: np.ndarray) -> dict[int, list[int]]:
+        """The index to begin with: by rank, all places where its pair stands."""
+        at = np.flatnonzero(after >= 0)
+        key = sym[at] << 32 | sym[at + 1]
+        slot = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = self.keys[slot] == key
+        at, rank = at[known], self.key_rank[slot[known]]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        cut = np.flatnonzero(np.diff(rank)) + 1
+        lo = [0, *cut.tolist()] if len(rank) else []
+        places = at.tolist()
+        return {r: places[a:b] for r, a, b in zip(rank[lo].tolist() if lo else [], lo, [*lo[1:], len(places)], strict=True)}
 
     def _segments(self, text: str) -> list[str | list[str]]:
         """A text cut at special tokens: a string is one of these, a list holds words."""
@@ -142,26 +167,34 @@ class WordBpe:
         """Per text: ids as little-endian 32-bit integers, their number, the decoded text (tokens
         with single blanks between, as a vocabulary without a decoder spells them)."""
         cut = [self._segments(t) for t in texts]
-        known = self.known
-        new = list(dict.fromkeys(w for segs in cut for s in segs if isinstance(s, list) for w in s if w not in known))
-        extra: dict[str, tuple[bytes, int, str]] = {}
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            extra[w] = (np.array(ids, "<u4").tobytes(), len(ids), " ".join(self.token[i] for i in ids))
-        if len(known) + len(extra) > MEMORY_WORDS:
-            extra = {w: known[w] for segs in cut for s in segs if isinstance(s, list) for w in s if w in known} | extra
-            known.clear()
-        if len(extra) <= MEMORY_WORDS:
-            known.update(extra)
-        look = known if len(extra) <= MEMORY_WORDS else extra
+        parts = [s for segs in cut for s in segs if isinstance(s, list)]
+        unmet: set[str] = set()
+        for s in parts:
+            unmet |= set(s).difference(self.ids_of)
+        if len(self.ids_of) + len(unmet) > MEMORY_WORDS:  # a batch's own words are always held
+            met = set().union(*parts) - unmet
+            self.ids_of, self.text_of = ({w: d[w] for w in met} for d in (self.ids_of, self.text_of))
+        new = list(unmet)
+        if new:
+            ids, ends = self.encode_words(new)
+            flat, spelled, ends = ids.tobytes(), list(map(self.token.__getitem__, ids.tolist())), ends.tolist()
+            for w, a, b in zip(new, ends, ends[1:], strict=False):
+                self.ids_of[w] = flat[4 * a : 4 * b]
+                self.text_of[w] = " ".join(spelled[a:b])
+        ids_of, text_of = self.ids_of.__getitem__, self.text_of.__getitem__
         out = []
         for segs in cut:
-            parts: list[tuple[bytes, int, str]] = []
+            ids: list[bytes] = []
+            decoded: list[str] = []
             for s in segs:
                 if isinstance(s, list):
-                    parts += [look[w] for w in s]
+                    ids += map(ids_of, s)
+                    decoded += map(text_of, s)
                 else:
-                    parts.append((np.array([self.special[s]], "<u4").tobytes(), 1, s))
-            out.append((b"".join([p[0] for p in parts]), sum([p[1] for p in parts]), " ".join([p[2] for p in parts if p[1]])))
+                    ids.append(self.special[s].to_bytes(4, "little"))
+                    decoded.append(s)
+            flat = b"".join(ids)
+            out.append((flat, len(flat) // 4, " ".join(decoded)))
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -204,6 +237,8 @@ def _mapped(docs: DataFrame, path: str, keep: list[str] | None, text: str, added
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        bpe.forget()  # what another task remembers may be large
+        gc.disable()  # nothing here is cyclic, and long lists of words are slow to trace
         for b in batches:
             texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
             rows: list[tuple] = []
@@ -216,5 +251,7 @@ def _mapped(docs: DataFrame, path: str, keep: list[str] | None, text: str, added
             cols = {f.name: pa.array([r[k] for r in rows], kinds[f.dataType.simpleString()]) for k, f in enumerate(new)}
             out = {k: b.column(b.schema.get_field_index(k)) for k in keep} | cols
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        bpe.forget()
+        gc.enable()
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(tk.lean(run), schema)
