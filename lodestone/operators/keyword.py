@@ -1,18 +1,32 @@
-"""Keyword retrieval: any-term matches ranked by weighted occurrences over a logarithm of length."""
+"""Keyword retrieval: any-term matches ranked by weighted occurrences over a logarithm of length.
+
+A document's score depends on that document alone, so nothing is shuffled but each partition's own
+best: questions come in blocks of bounded size, a batch of documents becomes a matrix of weighted
+counts over the block's terms, and its product with the questions' terms gives all scores.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import english
+from ..session import ensure_workers
 
 # Weights of the content, the section and the title of a chunk.
 WEIGHTS = {"content": 1.0, "section": 0.4, "title": 0.2}
+#: Question-term pairs in a block at most, or one question.
+BLOCK_TERMS = 100_000
+TILE_CELLS = 4_000_000
+MEMORY_WORDS = 200_000
+Analyser = Callable[[str], list[str]]
 
 
 def query_terms(question: Column) -> Column:
@@ -25,53 +39,111 @@ def or_query(question: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """The simple analyser: lower case, alphanumeric runs, nothing left out."""
+    """The simple analyser as an expression: lower case, alphanumeric runs, nothing left out."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
-MEMORY_WORDS = 200_000
+def simple() -> Analyser:
+    """The simple analyser on a worker."""
+    runs = re.compile("[a-z0-9]+")
+    return lambda text: runs.findall(text.lower())
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _english(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def stemming() -> Analyser:
+    """The English analyser on a worker: no stop words, stems, with a bounded memory of these."""
     memory: dict[str, str] = {}
-    for s in texts:
-        yield s.map(lambda t: english.analyse(t or "", memory))
+
+    def run(text: str) -> list[str]:
         if len(memory) > MEMORY_WORDS:
             memory.clear()
+        return english.analyse(text, memory)
 
-
-def english_tokens(text: Column) -> Column:
-    """The English analyser: the simple one's words without stop words, stemmed."""
-    return _english(F.coalesce(text, F.lit("")))
+    return run
 
 
-def log_length(n: Column) -> Column:
-    return F.log(n + F.lit(1.0))
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _english(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    run = stemming()
+    for s in texts:
+        yield s.map(lambda t: run(t or ""))
 
 
-def _weighted(terms: Column, weight: float) -> Column:
-    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+def english_tokens(text: Column) -> Column:
+    return _english(F.coalesce(text, F.lit("")))
 
 
-def ranked(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], key: str = "doc_id", scope: Column | None = None, normaliser=log_length, analyser: Callable[[Column], Column] = tokens) -> DataFrame:
+def log_length(n: np.ndarray) -> np.ndarray:
+    return np.log(n + 1.0)
+
+
+def best(ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best columns of each row: greatest score, then least id; scores of 0 are no match."""
+    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+    return np.take_along_axis(np.broadcast_to(ids, score.shape), order, 1), np.take_along_axis(score, order, 1)
+
+
+def _tiles(block: list[tuple[int, list[str], int | None]], k: int, key: str, fields: dict[str, float], scoped: bool, normaliser, analyser: Callable[[], Analyser]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = analyser()
+        words = {w: i for i, w in enumerate(dict.fromkeys(t for _, ts, _ in block for t in ts))}
+        asks = np.zeros((len(words), len(block)))
+        for q, (_, ts, _) in enumerate(block):
+            asks[[words[t] for t in ts], q] = 1.0
+        conv = np.array([-1 if c is None else c for _, _, c in block])
+        ids, scores = np.zeros((len(block), 0), np.int64), np.zeros((len(block), 0))
+        step = max(1, TILE_CELLS // max(len(words) + len(block), 1))
+        for b in batches:
+            col = lambda n, b=b: b.column(b.schema.get_field_index(n))
+            texts = {f: col(f).to_pylist() for f in fields}
+            for lo in range(0, b.num_rows, step):
+                hi = min(lo + step, b.num_rows)
+                tf, n = np.zeros((hi - lo, len(words))), np.zeros(hi - lo)
+                for f, w in fields.items():
+                    for i, text in enumerate(texts[f][lo:hi]):
+                        got = split(text or "")
+                        n[i] += len(got)
+                        at = [words[t] for t in got if t in words]
+                        if at:
+                            tf[i] += w * np.bincount(at, minlength=len(words))
+                score = np.round(tf @ asks / np.maximum(normaliser(n), 1e-12)[:, None], 6)
+                if scoped:
+                    kind = np.array(col("scope_type").to_pylist()[lo:hi])
+                    own = np.array([-2 if c is None else c for c in col("scope_conv").to_pylist()[lo:hi]])
+                    score[~((kind == "corpus")[:, None] | ((kind == "attachment")[:, None] & (own[:, None] == conv[None, :])))] = 0
+                key_ids = col(key).to_numpy(zero_copy_only=False).astype(np.int64)[lo:hi]
+                new_ids, new = best(key_ids[None, :], score.T, k)
+                ids, scores = np.concatenate([ids, new_ids], 1), np.concatenate([scores, new], 1)
+                order = np.lexsort((ids, -scores), axis=1)[:, :k]
+                ids, scores = np.take_along_axis(ids, order, 1), np.take_along_axis(scores, order, 1)
+        q, c = np.nonzero(scores > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([i for i, _, _ in block], np.int64)[q]), pa.array(ids[q, c]), pa.array(scores[q, c])], names=["query_id", key, "score"])
+
+    return run
+
+
+def ranked(docs: DataFrame, queries: DataFrame, k: int, fields: dict[str, float], key: str = "doc_id", normaliser=log_length, analyser: Callable[[], Analyser] = simple) -> DataFrame:
     """``query_id, key, score, rank``: the ``k`` best documents of each of ``queries(query_id, terms)``.
 
     ``fields``: column to weight. Score: the weights of all occurrences of the query's terms over
-    ``normaliser`` of the number of tokens. A query without terms has no rows. ``scope``: a condition
-    on columns of docs and queries, kept through ``docs`` columns scope_* and queries columns q_*.
-    ``terms`` must have come from the same ``analyser`` as the documents.
+    ``normaliser`` of the number of tokens. A query without terms has no rows. Where ``docs`` has
+    scope_type and scope_conv and ``queries`` has q_conv, a query sees the corpus and its own
+    conversation's attachments. Rows without a key take no part. ``terms`` must have come from the same analyser as the documents.
     """
-    every = F.concat(*[_weighted(analyser(F.col(c)), w) for c, w in fields.items()])
-    extra = [c for c in docs.columns if c.startswith("scope_")]
-    rows = docs.select(key, *extra, every.alias("__t")).select(key, *extra, F.size("__t").alias("n"), F.explode("__t").alias("t"))
-    wanted = queries.select("query_id", *[c for c in queries.columns if c.startswith("q_")], F.explode("terms").alias("term"))
-    # terms that no query asks for go before anything is shuffled by document
-    rows = rows.select(key, *extra, "n", "t.term", "t.w").join(wanted.select("term").distinct(), "term", "left_semi")
-    held = rows.groupBy(key, *extra, "n", "term").agg(F.sum("w").alias("w"))
-    hits = held.join(wanted, "term")
-    hits = hits if scope is None else hits.where(scope)
-    score = F.round(F.sum("w") / normaliser(F.first("n").cast("double")), 6)
-    scored = hits.groupBy("query_id", key).agg(score.alias("score"))
+    ensure_workers(docs.sparkSession)
+    scoped = "scope_type" in docs.columns
+    blocks: list[list[tuple[int, list[str], int | None]]] = [[]]
+    held = 0
+    asked = queries.where(F.size("terms") > 0).select("query_id", "terms", (F.col("q_conv") if scoped else F.lit(None)).cast("bigint").alias("conv"))
+    for r in asked.toLocalIterator():
+        if blocks[-1] and held + len(r.terms) > BLOCK_TERMS:
+            blocks.append([])
+            held = 0
+        blocks[-1].append((r.query_id, list(r.terms), r.conv))
+        held += len(r.terms)
+    cols = [key, *fields, *(["scope_type", "scope_conv"] if scoped else [])]
+    out = None
+    for block in blocks:
+        part = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), *cols[1:]).mapInArrow(_tiles(block, k, key, fields, scoped, normaliser, analyser), f"query_id bigint, `{key}` bigint, score double")
+        out = part if out is None else out.union(part)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

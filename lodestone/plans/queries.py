@@ -65,7 +65,7 @@ def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
 def keyword_topk_scoped(spark: SparkSession, d: str) -> DataFrame:
     docs = r.documents(spark, d).select("doc_id", "text", F.col("source_type").alias("scope_type"), F.col("conversation_id").alias("scope_conv"))
     asked = r.questions(spark, d).withColumn("q_conv", F.col("query_id") % 17)
-    return keyword.ranked(docs, asked, 75, {"text": 1.0}, scope=retrieve.in_scope(F.col("scope_type"), F.col("scope_conv"), F.col("q_conv")))
+    return keyword.ranked(docs, asked, 75, {"text": 1.0})
 
 
 @query(f"WITH {r.DOCS}, {r.TERMS}, f AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS a, regexp_extract_all(lower(source), '[a-z0-9]+') AS b, regexp_extract_all(lower(title), '[a-z0-9]+') AS c FROM docs), tk AS (SELECT doc_id, len(a) + len(b) + len(c) AS n, unnest(a) AS term, 1.0::DOUBLE AS w FROM f UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(b), 0.4::DOUBLE FROM f UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(c), 0.2::DOUBLE FROM f), kw AS (SELECT query_id, doc_id, round(sum(w) / ln(any_value(n) + 1.0::DOUBLE), 6) AS score FROM tk JOIN terms USING (term) GROUP BY query_id, doc_id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kw) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 75")
@@ -78,7 +78,7 @@ def keyword_weighted(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def keyword_english(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(keyword.english_tokens(F.col("text"))).alias("terms"))
-    return keyword.ranked(table(spark, d, "documents").select("doc_id", "text"), asked, 75, {"text": 1.0}, analyser=keyword.english_tokens)
+    return keyword.ranked(table(spark, d, "documents").select("doc_id", "text"), asked, 75, {"text": 1.0}, analyser=keyword.stemming)
 
 
 # -- hybrid

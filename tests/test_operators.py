@@ -202,3 +202,26 @@ def test_ingest_and_store(spark, tmp_path):
     assert parts.where("content like '[Document: a.md | Source: drive | Part 1 of 3]%'").count() == 1
     store.write_report(docs.select("title"), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 3
+
+
+def test_keyword_ranking(spark):
+    import math
+
+    from lodestone.operators import keyword
+
+    docs = spark.createDataFrame([(1, "Pods restart. pods!", "ops"), (2, "restarting a pod", "pods"), (3, None, None), (4, "", "restart"), (None, "pods", "x")], "doc_id bigint, text string, source string")
+    asked = spark.createDataFrame([(7, ["pods", "restart"]), (8, []), (9, ["absent"])], "query_id bigint, terms array<string>")
+    got = {(r.query_id, r.doc_id): (r.score, r.rank) for r in keyword.ranked(docs, asked, 5, {"text": 1.0, "source": 0.4}).collect()}
+    s = lambda w, n: round(w / math.log(n + 1), 6)
+    assert got == {(7, 1): (s(3, 4), 1), (7, 2): (s(0.4, 4), 3), (7, 4): (s(0.4, 1), 2)}
+    stems = spark.createDataFrame([(7, ["pod", "restart"])], "query_id bigint, terms array<string>")
+    english = {r.doc_id: r.score for r in keyword.ranked(docs, stems, 5, {"text": 1.0}, analyser=keyword.stemming).collect()}
+    assert english == {1: s(3, 3), 2: s(2, 2)}
+    assert keyword.ranked(docs, asked.where("false"), 5, {"text": 1.0}).count() == 0
+    assert docs.select(keyword.or_query(F.lit("What's the CPU limit, cpu?")).alias("q")).first().q == "what | the | cpu | limit"
+    assert docs.select(keyword.or_query(F.lit("a ? !")).alias("q")).first().q == ""
+
+
+def test_scope(spark):
+    rows = spark.createDataFrame([("corpus", None, True), ("attachment", 1, True), ("attachment", 2, False), ("attachment", None, False)], "t string, c int, want boolean")
+    assert rows.where(F.coalesce(retrieve.in_scope(F.col("t"), F.col("c"), F.lit(1)), F.lit(False)) != F.col("want")).count() == 0
