@@ -22,6 +22,8 @@ from .common import discard, ensure_workers, materialise
 SHARDS = 40
 #: Ranges per shard that the first boundaries aim at, and sampled keys per range.
 RANGES_PER_SHARD, KEYS_PER_RANGE = 4, 24
+#: More ranges are made where they would else hold more rows than this on average.
+ROWS_PER_RANGE = 4_000_000
 #: A range of more than this many times the mean, in bytes or in rows, is subdivided.
 OVERFULL = 2.0
 ROW_COST = 16
@@ -60,12 +62,9 @@ def _ranged(rows: DataFrame, cuts: list[tuple]) -> DataFrame:
     return rows.mapInArrow(tk.lean(run), T.StructType([*rows.schema.fields, T.StructField("range", T.IntegerType())]))
 
 
-def _draw(rows: DataFrame, total: int, want: int, seed: int) -> list:
-    """Keys drawn with chance in proportion to size: about ``want``, a bound fixed by the shard count."""
-    rate = want / max(total, 1)
-    chance = F.least(F.lit(1.0), F.col("size") * F.lit(rate))
-    u = F.pmod(F.xxhash64(F.lit(seed), *KEY), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    return rows.where(u < chance).select(*KEY).collect()
+def _chance(rate, seed: int):
+    """Condition that holds for a row with probability ``rate``, decided by its key."""
+    return F.pmod(F.xxhash64(F.lit(seed), *KEY), F.lit(1 << 53)) / F.lit(float(1 << 53)) < rate
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -81,18 +80,21 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = docs.select("doc_id", (F.octet_length(text) + ROW_COST).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("bigint").alias("id"))
     rows = materialise(rows.withColumn("uid", F.monotonically_increasing_id()), "keys")  # written, so row numbers hold
     total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    parts = shards * RANGES_PER_SHARD
-    cuts = _splitters(_draw(rows, total, parts * KEYS_PER_RANGE, 1), parts)
+    parts = max(shards * RANGES_PER_SHARD, -(-count // ROWS_PER_RANGE))
+    # about as many keys as asked for: small beside the rows, whatever their number
+    drawn = rows.where(_chance(F.col("size") * F.lit(parts * KEYS_PER_RANGE / max(total, 1)), 1)).select(*KEY).collect()
+    cuts = _splitters(drawn, parts)
     ranged = _ranged(rows, cuts)
     part = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     full = part.where((F.col("bytes") > OVERFULL * total / parts) | (F.col("rows") > OVERFULL * count / parts)).collect()
-    more = []
-    for r in full:  # at most 2 * parts / OVERFULL of them
-        n = max(2, r["bytes"] * parts // max(total, 1), r["rows"] * parts // max(count, 1))
-        # by rows: a range may be overfull with many small ones
-        keys = _draw(ranged.where(F.col("range") == r["range"]).withColumn("size", F.lit(1)), r["rows"], n * KEYS_PER_RANGE, 2)
-        more += _splitters(keys, n)
-    ranged = materialise(_ranged(rows, sorted({*cuts, *more})), "ranges")
+    if full:  # at most 2 * parts / OVERFULL of them; drawn by rows, as a range may hold many small ones
+        pieces = {r["range"]: max(2, r["bytes"] * parts // max(total, 1), r["rows"] * parts // max(count, 1)) for r in full}
+        rate = F.create_map(*[F.lit(x) for r in full for x in (r["range"], pieces[r["range"]] * KEYS_PER_RANGE / r["rows"])])
+        inner: dict[int, list] = {}
+        for k in ranged.where(_chance(F.try_element_at(rate, F.col("range")), 2)).select("range", *KEY).collect():
+            inner.setdefault(k["range"], []).append(k)
+        cuts = sorted({*cuts, *(c for r, keys in inner.items() for c in _splitters(keys, pieces[r]))})
+    ranged = materialise(_ranged(rows, cuts), "ranges")
     discard(rows)
     totals = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges, a fixed number
