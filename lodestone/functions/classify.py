@@ -110,3 +110,13 @@ def flat_permissions(permissions: Column) -> Column:
         )
 
     return F.filter(F.transform(F.coalesce(permissions, F.array()), one), lambda x: x.isNotNull())
+
+
+def top_category(path: Column, root: Column) -> Column:
+    """The first folder below a corpus's root, which names the category of its files."""
+    return F.substring_index(F.ltrim(F.replace(path, root, F.lit("")), F.lit("/")), "/", 1)
+
+
+def iso(at: Column) -> Column:
+    """A UTC timestamp in ISO form."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")

@@ -72,6 +72,18 @@ def english_tokens(text: Column) -> Column:
     return _english(F.coalesce(text, F.lit("")))
 
 
+def postings(docs: DataFrame, fields: dict[str, float], key: str = "doc_id") -> DataFrame:
+    """``key, term, weight, n``: the index as a table, to be written partitioned by a hash of the term
+    and joined with the terms of a question; n is the number of tokens of the document."""
+    lists = F.concat(*[_with_weight(tokens(F.col(c)), w) for c, w in fields.items()])
+    rows = docs.select(key, lists.alias("t")).select(key, F.size("t").alias("n"), F.explode("t").alias("t"))
+    return rows.groupBy(key, "t.term", "n").agg(F.sum("t.w").alias("weight")).select(key, "term", "weight", "n")
+
+
+def _with_weight(terms: Column, weight: float) -> Column:
+    return F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+
 def log_length(n: np.ndarray) -> np.ndarray:
     return np.log(n + 1.0)
 

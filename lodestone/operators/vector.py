@@ -36,10 +36,11 @@ def topk_one(chunks: DataFrame, query: DataFrame, k: int, key: str = "vec_id", v
     return d.orderBy(F.col("distance").asc_nulls_last(), key).limit(k)
 
 
-def _tiles(block: list[tuple[int, bytes]], k: int):
+def _tiles(block: list[tuple[int, bytes, int | None]], k: int, scoped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid = np.array([i for i, _ in block], np.int64)
-        q = np.array([np.frombuffer(v, np.float64) for _, v in block])
+        qid = np.array([i for i, _, _ in block], np.int64)
+        conv = np.array([-1 if c is None else c for _, _, c in block])
+        q = np.array([np.frombuffer(v, np.float64) for _, v, _ in block])
         q = q / np.linalg.norm(q, axis=1, keepdims=True)
         ids, dist = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
         for b in batches:
@@ -50,12 +51,16 @@ def _tiles(block: list[tuple[int, bytes]], k: int):
                 x = np.array([rows[i].values.to_numpy(zero_copy_only=False) for i in part], np.float64)
                 n = np.linalg.norm(x, axis=1)
                 x, key = x[n > 0] / n[n > 0, None], keys[part][n > 0].astype(np.int64)
+                near = np.round(1 - q @ x.T, 6)
+                if scoped:
+                    kind, own = (np.array([b.column(c)[i].as_py() for i in np.array(part)[n > 0].tolist()], object) for c in (2, 3))
+                    near[~((kind == "corpus")[None, :] | ((kind == "attachment")[None, :] & (own[None, :] == conv[:, None])))] = np.inf
                 ids = np.concatenate([ids, np.broadcast_to(key, (len(qid), len(key)))], axis=1)
-                dist = np.concatenate([dist, np.round(1 - q @ x.T, 6)], axis=1)
+                dist = np.concatenate([dist, near], axis=1)
                 order = np.lexsort((ids, dist), axis=1)[:, :k]
                 ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
-        n = ids.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), pa.array(ids.ravel()), pa.array(dist.ravel() + 0.0)], names=["query_id", "key", "distance"])
+        i, j = np.nonzero(np.isfinite(dist))
+        yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[i, j]), pa.array(dist[i, j] + 0.0)], names=["query_id", "key", "distance"])
 
     return run
 
@@ -64,23 +69,28 @@ def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_id
     """``query_id, key, distance, rank``: the ``k`` nearest chunks of every query.
 
     Queries come in blocks of bounded bytes; each partition of chunks multiplies with a block and
-    keeps its own ``k`` per query, a window keeps the best of these. Null and zero vectors take no part.
+    keeps its own ``k`` per query, a window keeps the best of these. Null and zero vectors take no
+    part. Where ``chunks`` has scope_type and scope_conv and ``queries`` has q_conv, a query sees the
+    corpus and its own conversation's attachments.
     """
     ensure_workers(chunks.sparkSession)
-    blocks: list[list[tuple[int, bytes]]] = [[]]
+    scoped = "scope_type" in chunks.columns
+    extra = ["scope_type", "scope_conv"] if scoped else []
+    blocks: list[list[tuple[int, bytes, int | None]]] = [[]]
     held = 0
-    for r in queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("v")).toLocalIterator():
+    conv = (F.col("q_conv") if scoped else F.lit(None)).cast("bigint").alias("c")
+    for r in queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("v"), conv).toLocalIterator():
         x = np.array(r.v, np.float64)
         if not np.linalg.norm(x) > 0:
             continue
         if blocks[-1] and held + x.nbytes > QUERY_BLOCK_BYTES:
             blocks.append([])
             held = 0
-        blocks[-1].append((r.i, x.tobytes()))
+        blocks[-1].append((r.i, x.tobytes(), r.c))
         held += x.nbytes
     out = None
     for block in blocks:
-        part = chunks.select(F.col(key).cast("bigint").alias(key), vector).mapInArrow(_tiles(block, k), "query_id bigint, key bigint, distance double") if block else chunks.sparkSession.createDataFrame([], "query_id bigint, key bigint, distance double")
+        part = chunks.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), vector, *extra).mapInArrow(_tiles(block, k, scoped), "query_id bigint, key bigint, distance double") if block else chunks.sparkSession.createDataFrame([], "query_id bigint, key bigint, distance double")
         out = part if out is None else out.union(part)
     w = Window.partitionBy("query_id").orderBy("distance", "key")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -16,7 +16,7 @@ from ..session import ensure_workers, shared_dir, table
 from ..sources import connector
 from ..sources import files as src
 from ..streaming import sync_stream as stream
-from . import ingest
+from . import answer, ingest
 from . import relations as r
 from . import samples
 
@@ -81,6 +81,11 @@ def keyword_english(spark: SparkSession, d: str) -> DataFrame:
     return keyword.ranked(table(spark, d, "documents").select("doc_id", "text"), asked, 75, {"text": 1.0}, analyser=keyword.stemming)
 
 
+@query(f"WITH {r.TOKENS} SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS weight, any_value(n) AS n FROM tok GROUP BY doc_id, term")
+def keyword_postings(spark: SparkSession, d: str) -> DataFrame:
+    return keyword.postings(table(spark, d, "documents"), {"text": 1.0}).withColumn("n", F.col("n").cast("bigint"))
+
+
 # -- hybrid
 
 
@@ -139,6 +144,22 @@ def scope_filter(spark: SparkSession, d: str) -> DataFrame:
     return convs.join(own, convs.conv_id == own.conversation_id, "left").crossJoin(F.broadcast(corpus)).select("conv_id", n.alias("n_attachments"), (F.col("corpus") + n).alias("n_visible"))
 
 
+@query()
+def answer_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The whole question path over documents of one chunk each, with the stand-in models."""
+    docs = r.documents(spark, d)
+    emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    chunks = docs.join(emb, "doc_id").select("doc_id", F.lit(0).alias("chunk_index"), "title", F.lit("").alias("section"), F.lit(1).alias("total"), F.col("text").alias("content"), "embedding", "source_type", "conversation_id")
+    asked = r.vector_questions(spark, d).select("query_id", "question", F.col("query_id").alias("conv_id"), "embedding")
+    got = answer.answers(asked, chunks, r.messages(spark, d), echo)
+    return got.select("query_id", "rewritten", "answer", F.size("sources").alias("n_sources"), F.sha2("context", 256).alias("context_sha256"))
+
+
+def echo(prompts: list[str]) -> list[str]:
+    """The stand-in language model: the last line that holds a question."""
+    return [next((x.split(": ", 1)[1] for x in reversed(p.split("\n")) if x.startswith(("Question: ", "Follow-up question: "))), "") for p in prompts]
+
+
 # -- classification
 
 
@@ -197,6 +218,11 @@ def prose_header(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "chunk_index", head.alias("header"))
 
 
+@query(f"WITH {r.LINES} SELECT doc_id, count(*) AS n_chunks, round(avg(length(content)), 6) AS avg_chars FROM lines GROUP BY doc_id")
+def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
+    return r.line_chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.round(F.avg(F.length("content")), 6).alias("avg_chars"))
+
+
 @query()
 def recursive_split(spark: SparkSession, d: str) -> DataFrame:
     return chunk.prose_chunks(table(spark, d, "documents"))
@@ -241,6 +267,11 @@ def html_elements(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.explode(found).alias("e")).select("page_id", "e.tag", "e.element_type", "e.pos", "e.text").where("text <> ''")
 
 
+@query("SELECT page_id, string_agg(e, ',' ORDER BY e) AS element_types FROM (SELECT page_id, 'Title' AS e FROM pages WHERE regexp_matches(html, '(?is)<(?:title|h1|h2)(?:\\s[^>]*)?>.*?</(?:title|h1|h2)>') UNION ALL SELECT page_id, 'NarrativeText' FROM pages WHERE regexp_matches(html, '(?is)<p(?:\\s[^>]*)?>.*?</p>') UNION ALL SELECT page_id, 'ListItem' FROM pages WHERE regexp_matches(html, '(?is)<li(?:\\s[^>]*)?>.*?</li>')) GROUP BY page_id")
+def element_types(spark: SparkSession, d: str) -> DataFrame:
+    return html_elements(spark, d).groupBy("page_id").agg(F.array_join(F.array_sort(F.collect_set("element_type")), ",").alias("element_types"))
+
+
 @query()
 def html_parse(spark: SparkSession, d: str) -> DataFrame:
     return src.parsed_pages(table(spark, d, "pages"))

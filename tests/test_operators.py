@@ -225,3 +225,27 @@ def test_keyword_ranking(spark):
 def test_scope(spark):
     rows = spark.createDataFrame([("corpus", None, True), ("attachment", 1, True), ("attachment", 2, False), ("attachment", None, False)], "t string, c int, want boolean")
     assert rows.where(F.coalesce(retrieve.in_scope(F.col("t"), F.col("c"), F.lit(1)), F.lit(False)) != F.col("want")).count() == 0
+
+
+def test_answers(spark):
+    from lodestone.plans import answer
+    from lodestone.plans.queries import echo
+
+    chunks = spark.createDataFrame(
+        [
+            (1, 0, "Guide", "", 2, "pods restart when probes fail", [1.0, 0.0], "corpus", None),
+            (1, 1, "Guide", "", 2, "nothing here", [0.0, 1.0], "corpus", None),
+            (2, 0, "Note", "", 1, "pods restart at night", [0.9, 0.1], "attachment", 7),
+            (3, 0, "Other", "", 1, "pods restart elsewhere", [0.9, 0.1], "attachment", 8),
+        ],
+        "doc_id bigint, chunk_index int, title string, section string, total int, content string, embedding array<double>, source_type string, conversation_id bigint",
+    )
+    asked = spark.createDataFrame([(1, "why do pods restart", 7, [1.0, 0.0]), (2, "and at night?", 9, [0.0, 1.0])], "query_id bigint, question string, conv_id bigint, embedding array<double>")
+    said = spark.createDataFrame([(9, 0, "user", "tell me about pods"), (9, 1, "assistant", "they run")], "conv_id bigint, turn int, role string, text string")
+    inline = spark.createDataFrame([(7, "a.txt", "attached words")], "conv_id bigint, filename string, text string")
+    got = {r.query_id: r for r in answer.answers(asked, chunks, said, echo, inline=inline).collect()}
+    assert got[1].rewritten == "why do pods restart" and got[1].answer == "why do pods restart"
+    assert {(s.doc_id, s.chunk_index) for s in got[1].sources} == {(1, 0), (1, 1), (2, 0)}  # not the other conversation's
+    assert got[1].context.startswith('From user-attached file "a.txt":\nattached words\n---\n\nFrom "Guide":\n  [Part 1 of 2]\n')
+    assert got[2].rewritten == "and at night?" and got[2].prompt.startswith("Previous conversation:\nUser: tell me about pods\n\nAssistant: they run\n---\n")
+    assert {s.doc_id for s in got[2].sources} == {1}
