@@ -227,7 +227,7 @@ def _resolved(docs: DataFrame) -> DataFrame:
     classes = materialise(classes.withColumn("node", half), "classes")
     band = classes.select("node", F.explode("bands").alias("band"))
     shared = band.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub <> far").select("band", "hub")
-    groups = materialise(components(band.join(shared, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()), "groups")
+    groups = materialise(components(band.join(shared, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "groups")
     sizes = groups.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     chosen = classes.drop("bands").join(groups, "node").join(sizes, "component").select("rep.doc_id", "rep.th1", "rep.th2", "cid", "members", "component", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("bigint")).cast("int").alias("block"))
     if repeats(feats):  # equal rows would all follow their class into one task
