@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from ..config import DEFAULTS, Settings
 from ..functions import split as sp
 from ..functions import structure
 from ..session import ensure_workers
+from ..sources import files as src
 
 CHUNK = "chunk_index int, total int, section string, kind string, name string, element_type string, fallback_reason string, content string"
 
@@ -92,17 +93,35 @@ def csv_chunks(files: DataFrame) -> DataFrame:
     return _flat_map(files, ["path"], "csv_row_index int, total_rows int, content string", split)
 
 
-def chunk_files(files: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Every file by its format: prose by characters, CSV by rows, all else by structure.
+def element_chunks(files: DataFrame, settings: Settings = DEFAULTS, parsers: Mapping[str, src.Parser] | None = None) -> DataFrame:
+    """Chunks of the prose ``files(path, source, folder_path, content)``: the texts of a file's elements,
+    joined by blank lines and split; the section is the titles that a chunk starts with, the element
+    type lists those of the file. Files without elements have none: see :func:`src.unparsed`."""
+    size, overlap = settings.chunk_size, settings.chunk_overlap
+    known = {**src.PARSERS, **(parsers or {})}
+
+    def split(row: dict) -> list[tuple]:
+        found, _ = src.elements_of(row["path"], row["content"], known)
+        titles = frozenset(text for kind, text in found if kind == "Title")
+        kinds = ",".join(sorted({kind for kind, _ in found}))
+        parts = sp.split_text("\n\n".join(text for _, text in found), size, overlap)
+        return [(i, len(parts), sp.section_of(p, titles), kinds, p) for i, p in enumerate(parts)]
+
+    keys = ["path", "source", "folder_path"]
+    return _flat_map(files.select(*keys, F.col("content").cast("binary").alias("content")), keys, "chunk_index int, total int, section string, element_type string, content string", split)
+
+
+def chunk_files(files: DataFrame, settings: Settings = DEFAULTS, parsers: Mapping[str, src.Parser] | None = None) -> DataFrame:
+    """Every file by its format: prose by elements and characters, CSV by rows, all else by structure.
 
-    ``files(path, format, doc_type, source, folder_path, content)``; returns :data:`CHUNK` below path."""
+    ``files(path, format, doc_type, source, folder_path, content)``, content as bytes or text; returns
+    :data:`CHUNK` below path. ``parsers``: more than, or in place of, those of :data:`src.PARSERS`."""
     none = F.lit(None).cast("string")
-    prose = prose_chunks(files.where("format = 'prose'"), "path", "content", settings)
-    meta = files.select(F.col("path").alias("__p"), "source", "folder_path")
-    prose = prose.join(meta, prose.path == meta["__p"])
+    prose = element_chunks(files.where("format = 'prose'"), settings, parsers)
     title = F.substring_index("path", "/", -1)
-    head = prose_header(title, F.lit(""), F.col("source"), F.col("folder_path"), none, none, F.col("chunk_index") + 1, F.col("total"))
-    prose = prose.select("path", "chunk_index", "total", F.lit("").alias("section"), none.alias("kind"), none.alias("name"), F.lit("NarrativeText").alias("element_type"), none.alias("fallback_reason"), F.concat(head, "content").alias("content"))
-    rows = csv_chunks(files.where("format = 'csv'")).select("path", F.col("csv_row_index").alias("chunk_index"), F.col("total_rows").alias("total"), F.lit("").alias("section"), none.alias("kind"), none.alias("name"), F.lit("csv_row").alias("element_type"), none.alias("fallback_reason"), "content")
-    rest = structured_chunks(files.where("format not in ('prose', 'csv')"), settings)
+    head = prose_header(title, F.col("section"), F.col("source"), F.col("folder_path"), none, none, F.col("chunk_index") + 1, F.col("total"))
+    prose = prose.select("path", "chunk_index", "total", "section", none.alias("kind"), none.alias("name"), "element_type", none.alias("fallback_reason"), F.concat(head, "content").alias("content"))
+    texts = src.as_text(files) if dict(files.dtypes)["content"] == "binary" else files
+    rows = csv_chunks(texts.where("format = 'csv'")).select("path", F.col("csv_row_index").alias("chunk_index"), F.col("total_rows").alias("total"), F.lit("").alias("section"), none.alias("kind"), none.alias("name"), F.lit("csv_row").alias("element_type"), none.alias("fallback_reason"), "content")
+    rest = structured_chunks(texts.where("format not in ('prose', 'csv')"), settings)
     return prose.unionByName(rows).unionByName(rest)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import email
+import email.policy
+import os
+import re
+from collections.abc import Callable, Iterator, Mapping
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -118,6 +122,155 @@ def parsed_pages(pages: DataFrame, key: str = "page_id", html: str = "html") ->
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, pos int, element_type string, text string")
 
 
+# Marks of Markdown and reStructuredText.
+_LINES = re.compile(r"\r\n|\r|\n")
+_HEADING = re.compile(r" {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_UNDERLINE = re.compile(r" {0,3}(?:=+|-{2,})[ \t]*$")
+_ITEM = re.compile(r"\s*(?:[-*+]|\d{1,9}[.)])[ \t]+\S")
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
+_ADORNMENT = re.compile(r"([!-/:-@\[-`{-~])\1+\s*$")
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?([A-Za-z0-9_.:-]+)", re.IGNORECASE)
+
+
+def text_elements(text: str) -> list[tuple[str, str]]:
+    """Paragraphs of a plain text, cut at blank lines."""
+    return [("NarrativeText", p.strip()) for p in re.split(r"\n\s*\n", "\n".join(_LINES.split(text))) if p.strip()]
+
+
+def markdown_elements(text: str) -> list[tuple[str, str]]:
+    """Titles without their marks; paragraphs, list items, tables and fenced blocks as they are written."""
+    out: list[tuple[str, str]] = []
+    held: list[str] = []
+    kind, fence = "NarrativeText", ""
+
+    def close() -> None:
+        nonlocal kind
+        words = "\n".join(held).strip()
+        if words:
+            out.append((kind, words))
+        held.clear()
+        kind = "NarrativeText"
+
+    lines = _LINES.split(text)
+    if lines[0].rstrip() == "---" and "---" in (x.rstrip() for x in lines[1:]):
+        end = next(i for i, x in enumerate(lines[1:], 1) if x.rstrip() == "---")
+        held += lines[1:end]
+        kind = t.OTHER_ELEMENT
+        close()
+        lines = lines[end + 1 :]
+    for line in lines:
+        if fence:
+            held.append(line)
+            mark = line.strip()
+            if mark.startswith(fence) and not mark.strip(fence[0]):
+                fence = ""
+                close()
+        elif mark := _FENCE.match(line):
+            close()
+            kind, fence = t.OTHER_ELEMENT, mark[1]
+            held.append(line)
+        elif head := _HEADING.match(line):
+            close()
+            if head[1]:
+                out.append(("Title", head[1].strip()))
+        elif not line.strip():
+            close()
+        elif kind == "NarrativeText" and len(held) == 1 and _UNDERLINE.match(line):
+            kind = "Title"
+            close()
+        elif _ITEM.match(line):
+            close()
+            kind = "ListItem"
+            held.append(line)
+        else:
+            row = line.lstrip().startswith("|")
+            if row != (kind == "Table"):
+                close()
+                kind = "Table" if row else kind
+            held.append(line)
+    close()
+    return out
+
+
+def rst_elements(text: str) -> list[tuple[str, str]]:
+    """Titles by their underlines, which go; paragraphs as they are written."""
+    out: list[tuple[str, str]] = []
+    held: list[str] = []
+    for line in [*_LINES.split(text), ""]:
+        over = len(held) == 2 and _ADORNMENT.match(held[0])
+        if (len(held) == 1 or over) and not _ADORNMENT.match(held[-1]) and _ADORNMENT.match(line) and len(line.rstrip()) >= len(held[-1].rstrip()):
+            out.append(("Title", held[-1].strip()))
+            held = []
+        elif line.strip():
+            held.append(line)
+        else:
+            out += text_elements("\n".join(held))
+            held = []
+    return out
+
+
+def decoded(raw: bytes) -> str:
+    """UTF-8; a page that is not and names another charset, in that; malformed bytes replaced."""
+    try:
+        return raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        named = _CHARSET.search(raw[:2048])
+        try:
+            return raw.decode(named[1].decode() if named else "utf-8", "replace").removeprefix("\ufeff")
+        except LookupError:
+            return raw.decode("utf-8", "replace").removeprefix("\ufeff")
+
+
+def mail_elements(raw: bytes) -> list[tuple[str, str]]:
+    """The subject as a title and the body of a mail; its attachments are files of their own."""
+    mail = email.message_from_bytes(raw, policy=email.policy.default)
+    body = mail.get_body(("html", "plain"))
+    subject = str(mail["subject"] or "").strip()
+    found = [] if body is None else (html_elements if body.get_content_subtype() == "html" else text_elements)(body.get_content())
+    return ([("Title", subject)] if subject else []) + found
+
+
+Parser = Callable[[bytes], list[tuple[str, str]]]
+#: Extension to parser: bytes to (element type, text) in order. Office and PDF parsers are put in here or
+#: given to a plan by whoever has a library for them.
+PARSERS: dict[str, Parser] = {
+    ".html": lambda raw: html_elements(decoded(raw)),
+    ".htm": lambda raw: html_elements(decoded(raw)),
+    ".md": lambda raw: markdown_elements(decoded(raw)),
+    ".markdown": lambda raw: markdown_elements(decoded(raw)),
+    ".rst": lambda raw: rst_elements(decoded(raw)),
+    ".eml": mail_elements,
+}
+# Extensions of files that are no text; without a parser they are refused.
+NO_TEXT = (".pdf", ".docx", ".doc", ".pptx", ".ppt", ".xlsx", ".xls", ".rtf")
+
+
+def elements_of(path: str, raw: bytes | None, parsers: Mapping[str, Parser]) -> tuple[list[tuple[str, str]], str | None]:
+    """Elements of a prose file, empty ones left out, and why there are none."""
+    ext = os.path.splitext(path)[1].lower()
+    if ext in NO_TEXT and ext not in parsers:
+        return [], f"no parser for {ext}"
+    try:
+        found = parsers[ext](bytes(raw or b"")) if ext in parsers else text_elements(decoded(bytes(raw or b"")))
+    except Exception as e:  # a parser may fail with anything; the file is refused, the others go on
+        return [], f"parser failed: {type(e).__name__}"
+    found = [(kind, text.strip()) for kind, text in found if text and text.strip()]
+    return found, None if found else "no content extracted"
+
+
+def unparsed(files: DataFrame, parsers: Mapping[str, Parser] | None = None) -> DataFrame:
+    """``path, reason`` of those of ``files(path, content)``, prose, that have no elements."""
+    ensure_workers(files.sparkSession)
+    known = {**PARSERS, **(parsers or {})}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = [(p, elements_of(p, c, known)[1]) for p, c in zip(pdf["path"], pdf["content"], strict=True)]
+            yield pd.DataFrame([r for r in rows if r[1]], columns=["path", "reason"])
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(run, "path string, reason string")
+
+
 def raw_text(spark: SparkSession, text: str, filename: str = "manual_input.txt") -> DataFrame:
     """One text as a parsed document of one element; a blank one is an error."""
     if not text.strip():

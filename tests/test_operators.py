@@ -204,6 +204,41 @@ def test_ingest_and_store(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "report")).count() == 3
 
 
+def test_ingest_parses(spark, tmp_path):
+    from lodestone.plans import ingest
+
+    (tmp_path / "page.html").write_text("<html><head><title>Guide</title><script>var x;</script></head><body><h1>Setup</h1><p>One <b>two</b></p><ul><li>item</li></ul></body></html>")
+    (tmp_path / "old.htm").write_bytes('<meta charset="latin-1"><p>caf\xe9</p>'.encode("latin-1"))
+    (tmp_path / "notes.md").write_text("# Top\n\n## Sub ##\nBody *here*.\n\n- a\n- b\n\n```\n# no title\n```\n")
+    (tmp_path / "plain.txt").write_text("first\nline\n\n\nsecond")
+    (tmp_path / "mail.eml").write_text("Subject: Hello\nContent-Type: text/plain\n\nDear all\n")
+    (tmp_path / "paper.PDF").write_bytes(b"%PDF-1.7\n\x00\xff\xfe binary")
+    (tmp_path / "deck.pptx").write_bytes(b"PK\x03\x04\x00")
+    (tmp_path / "blank.html").write_text("<script>only()</script>")
+    documents, chunks, refused = ingest.directory(spark, str(tmp_path), "upload")
+    got = {r.content.split("]\n", 1)[0][1:]: (r.content.split("]\n", 1)[1], r.metadata["section"], r.metadata["element_types"]) for r in chunks.collect()}
+    assert got == {
+        "Document: page.html | Section: Guide > Setup | Part 1 of 1": ("Guide\n\nSetup\n\nOne two\n\nitem", "Guide > Setup", "ListItem,NarrativeText,Title"),
+        "Document: old.htm | Part 1 of 1": ("caf\xe9", "", "NarrativeText"),
+        "Document: notes.md | Section: Top > Sub | Part 1 of 1": ("Top\n\nSub\n\nBody *here*.\n\n- a\n\n- b\n\n```\n# no title\n```", "Top > Sub", "ListItem,NarrativeText,Title,UncategorizedText"),
+        "Document: plain.txt | Part 1 of 1": ("first\nline\n\nsecond", "", "NarrativeText"),
+        "Document: mail.eml | Section: Hello | Part 1 of 1": ("Hello\n\nDear all", "Hello", "NarrativeText,Title"),
+    }
+    assert documents.count() == 5
+    assert {r.path.rsplit("/", 1)[-1]: r.reason for r in refused.collect()} == {"paper.PDF": "no parser for .pdf", "deck.pptx": "no parser for .pptx", "blank.html": "no content extracted"}
+
+    def broken(raw):
+        raise OSError("no such page")
+
+    _, chunks, refused = ingest.directory(spark, str(tmp_path), "upload", parsers={".pdf": lambda raw: [("Title", "Paper"), ("NarrativeText", raw[:8].decode())], ".pptx": broken})
+    assert chunks.where("content = '[Document: paper.PDF | Section: Paper | Part 1 of 1]\nPaper\n\n%PDF-1.7'").count() == 1
+    assert {r.reason for r in refused.collect()} == {"parser failed: OSError", "no content extracted"}
+
+
+def test_rst_titles():
+    assert files.rst_elements("====\nTop\n====\n\nSub\n---\ntext\nmore\n\n* x\n") == [("Title", "Top"), ("Title", "Sub"), ("NarrativeText", "text\nmore"), ("NarrativeText", "* x")]
+
+
 def test_keyword_ranking(spark):
     import math
 
