@@ -72,15 +72,22 @@ def tile(q: Side, c: Side, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def first_copies(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Rows that can matter: of equal vectors the k + 1 of least id (ties go to these, and one of
-    them may be the query itself)."""
+    """Rows that can matter: of equal vectors those that are among the k of least id (ties go to
+    these) once all rows of one smaller id, a query's own, are left out. At most 2k + 1 of a vector."""
+    n = len(ids)
+    if not n:
+        return np.zeros(0, np.int64)
     order = np.lexsort((ids, *x.T[::-1]))
-    run = np.zeros(len(order), np.int64)
-    if len(order) > 1:
-        new = (x[order[1:]] != x[order[:-1]]).any(1)
-        start = np.concatenate(([0], np.where(new, np.arange(1, len(order)), 0)))
-        run = np.arange(len(order)) - np.maximum.accumulate(start)
-    return np.sort(order[run <= k])
+    new = np.concatenate(([True], (x[order[1:]] != x[order[:-1]]).any(1)))
+    rank = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    # runs of one id within a vector; the longest run of a smaller id with the same vector
+    first = new | np.concatenate(([True], ids[order[1:]] != ids[order[:-1]]))
+    starts = np.nonzero(first)[0]
+    group = np.cumsum(new)[starts]
+    longest = np.maximum.accumulate(np.diff(np.append(starts, n)) + group * (n + 1))
+    before = np.concatenate(([0], longest[:-1] - group[:-1] * (n + 1)))
+    before[new[starts]] = 0
+    return np.sort(order[rank - before[np.cumsum(first) - 1] < k])
 
 
 def _vectors(batch: pa.RecordBatch, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:

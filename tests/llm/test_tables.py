@@ -164,6 +164,35 @@ def test_nearest_odd_rows(spark):
     assert ann.report(df.where("false")).count() == 0
 
 
+def test_nearest_repeated_query_rows(spark):
+    rng = np.random.default_rng(11)
+    one, other = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(50, one)] * 6 + [(51, one), (52, one), (53, one)]
+    rows += [(99, other), *[(100, other)] * 12, *[(101, other)] * 2, (102, other), (103, other)]  # the query is not of least id
+    rows += [(200 + i, [float(v) for v in rng.normal(size=4)]) for i in range(30) if i % 50]
+    got = defaultdict(list)
+    for r in ann.report(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = {}
+    for q, x in ((50, one), (100, other)):
+        near = sorted((-round(float(np.dot(x, y) / np.linalg.norm(y)), 12), i) for i, y in rows if i != q)
+        want[q] = [i for _, i in near[:5]]
+    assert got == want and want[50][:3] == [51, 52, 53] and want[100] == [99, 101, 101, 102, 103]
+
+
+def test_first_copies_keep_every_querys_nearest():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        n, k = int(rng.integers(1, 40)), int(rng.integers(1, 5))
+        ids, x = rng.integers(0, 8, n), rng.integers(0, 2, (n, 1)).astype(float) + 1
+        keep = ann.first_copies(ids, x, k)
+        for v in (1.0, 2.0):
+            for q in range(-1, 9):
+                best = lambda at: sorted(i for i, y in zip(ids[at].tolist(), x[at, 0].tolist(), strict=True) if y == v and i != q)[:k]  # noqa: B023, E731
+                assert best(keep) == best(np.arange(n))
+            assert (x[keep, 0] == v).sum() <= 2 * k + 1
+
+
 def test_int8_bound_holds():
     rng = np.random.default_rng(10)
     a, b = (ann.Side(np.arange(n), rng.normal(size=(n, 64)) * rng.lognormal(size=(n, 1))) for n in (40, 200))
