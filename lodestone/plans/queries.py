@@ -146,10 +146,11 @@ def scope_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def answer_questions(spark: SparkSession, d: str) -> DataFrame:
-    """The whole question path over documents of one chunk each, with the stand-in models."""
+    """The whole question path over all documents, one chunk each, with the stand-in models; those
+    without a stored vector are found by their words."""
     docs = r.documents(spark, d)
     emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    chunks = docs.join(emb, "doc_id").select("doc_id", F.lit(0).alias("chunk_index"), "title", F.lit("").alias("section"), F.lit(1).alias("total"), F.col("text").alias("content"), "embedding", "source_type", "conversation_id")
+    chunks = docs.join(emb, "doc_id", "left").select("doc_id", F.lit(0).alias("chunk_index"), "title", F.lit("").alias("section"), F.lit(1).alias("total"), F.col("text").alias("content"), "embedding", "source_type", "conversation_id")
     asked = r.vector_questions(spark, d).select("query_id", "question", F.col("query_id").alias("conv_id"), "embedding")
     got = answer.answers(asked, chunks, r.messages(spark, d), echo)
     return got.select("query_id", "rewritten", "answer", F.size("sources").alias("n_sources"), F.sha2("context", 256).alias("context_sha256"))

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from helpers import SF
+from helpers import SF, SF_CORRECT
 from pyspark.sql import functions as F
 
 from lodestone import schema
@@ -284,3 +284,44 @@ def test_answers(spark):
     assert got[1].context.startswith('From user-attached file "a.txt":\nattached words\n---\n\nFrom "Guide":\n  [Part 1 of 2]\n')
     assert got[2].rewritten == "and at night?" and got[2].prompt.startswith("Previous conversation:\nUser: tell me about pods\n\nAssistant: they run\n---\n")
     assert {s.doc_id for s in got[2].sources} == {1}
+
+
+def test_answer_questions_over_all_documents(spark):
+    import hashlib
+    import math
+    import re
+
+    from lodestone.config import DEFAULTS
+    from lodestone.functions.context import context_block
+    from lodestone.operators.models import overlap_reranker
+    from lodestone.plans import queries
+    from lodestone.plans import relations as rel
+
+    sf = SF_CORRECT
+    docs = rel.documents(spark, sf).withColumn("place", F.xxhash64("doc_id", F.lit(0))).collect()
+    vec = {r.vec_id: np.array(r.embedding, float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    words = {x.doc_id: re.findall("[a-z0-9]+", (x.text or "").lower()) for x in docs}
+    named = {x.doc_id: re.findall("[a-z0-9]+", x.title) for x in docs}
+    got = {r.query_id: r for r in queries.answer_questions(spark, sf).collect()}
+    want, blind = {}, 0
+    for q in rel.vector_questions(spark, sf).collect():
+        seen = [x for x in docs if x.source_type == "corpus" or x.conversation_id == q.query_id]
+        a = np.array(q.embedding, float)
+        far = lambda x: round(1 - float(a @ vec[x.doc_id]) / np.linalg.norm(a) / np.linalg.norm(vec[x.doc_id]), 6)  # noqa: B023, E731
+        near = sorted((x for x in seen if x.doc_id in vec and np.linalg.norm(vec[x.doc_id]) > 0), key=lambda x: (far(x), x.place))[: DEFAULTS.vector_candidates]
+        asked = got[q.query_id].rewritten  # a follow-up is retrieved as it was rewritten
+        terms = {w for w in re.findall("[a-z0-9]+", asked.lower()) if len(w) >= 2}
+
+        def score(x):
+            n = len(words[x.doc_id]) + len(named[x.doc_id])
+            return round((sum(w in terms for w in words[x.doc_id]) + 0.2 * sum(w in terms for w in named[x.doc_id])) / math.log(n + 1), 6)  # noqa: B023
+
+        found = sorted((x for x in seen if score(x) > 0), key=lambda x: (-score(x), x.place))[: DEFAULTS.keyword_candidates]
+        pool = list({x.doc_id: x for x in [*near, *found]}.values())
+        value = overlap_reranker([asked] * len(pool), [x.text or "" for x in pool])
+        top = [pool[i] for i in sorted(range(len(pool)), key=lambda i: (-value[i], i))[: DEFAULTS.top_k]]  # noqa: B023
+        blind += sum(x.doc_id not in vec for x in top)
+        text = context_block([{"document_id": x.doc_id, "title": x.title, "section": "", "position": 1, "total": 1, "content": x.text} for x in sorted(top, key=lambda x: x.doc_id)], limit=DEFAULTS.max_context_chars)
+        want[q.query_id] = (len(top), hashlib.sha256(text.encode()).hexdigest())
+    assert blind > 0
+    assert {k: (r.n_sources, r.context_sha256) for k, r in got.items()} == want
