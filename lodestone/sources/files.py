@@ -54,11 +54,15 @@ class _Elements(HTMLParser):
 
     BLOCKS = {**{f"h{i}": "Title" for i in range(1, 7)}, "title": "Title", "p": "NarrativeText", "li": "ListItem", "header": "Header", "footer": "Footer"}
     DROPPED = ("script", "style", "noscript", "template")
+    CELLS = ("tr", "td", "th")
 
-    def __init__(self):
+    def __init__(self, shown: frozenset[tuple[int, int]] = frozenset()):
+        """``shown``: where elements start that are not dropped after all."""
         super().__init__(convert_charrefs=True)
         self.out: list[tuple[str, str]] = []
-        self.kind, self.text, self.table, self.hidden, self.depth = None, [], [], 0, 0
+        self.kind, self.text, self.table, self.flat, self.depth = None, [], [], [], 0
+        self.shown, self.hidden = shown, []
+        self.rest, self.rows = (0, 0, 0), (0, 0)  # where a table that never ends stops being one
 
     def _close(self) -> None:
         words = " ".join("".join(self.text).split())
@@ -66,31 +70,42 @@ class _Elements(HTMLParser):
             self.out.append((self.kind or t.OTHER_ELEMENT, words))
         self.kind, self.text = None, []
 
+    def _close_table(self, tags: int | None = None, words: int | None = None) -> None:
+        text = structure.table_markdown("".join(self.table[:tags])) or " ".join(" ".join(self.flat[:words]).split())
+        if text:
+            self.out.append(("Table", text))
+        self.table, self.flat, self.depth = [], [], 0
+
     def handle_starttag(self, tag, attrs):
         if tag in self.DROPPED:
-            self.hidden += 1
+            if self.getpos() not in self.shown:
+                self.hidden.append((tag, self.getpos()))
         elif tag == "table":
             if not self.depth:
                 self._close()
+                self.rest, self.rows = (*self.getpos(), len(self.get_starttag_text())), (0, 0)
             self.depth += 1
         if self.depth:
             self.table.append(f"<{tag}>")
         elif tag in self.BLOCKS:
             self._close()
             self.kind = self.BLOCKS[tag]
+        elif tag in self.CELLS:
+            self._close()
 
     def handle_endtag(self, tag):
         if tag in self.DROPPED:
-            self.hidden = max(0, self.hidden - 1)
+            at = next((i for i in reversed(range(len(self.hidden))) if self.hidden[i][0] == tag), None)
+            if at is not None:
+                del self.hidden[at:]
         if self.depth:
             self.table.append(f"</{tag}>")
+            if tag == "tr" and self.depth == 1:
+                self.rest, self.rows = (*self.getpos(), 0), (len(self.table), len(self.flat))
             if tag == "table":
                 self.depth -= 1
                 if not self.depth:
-                    md = structure.table_markdown("".join(self.table))
-                    self.table = []
-                    if md:
-                        self.out.append(("Table", md))
+                    self._close_table()
         elif tag in self.BLOCKS or tag in ("div", "article", "section", "nav", "body"):
             self._close()
 
@@ -98,15 +113,33 @@ class _Elements(HTMLParser):
         if self.hidden:
             return
         (self.table if self.depth else self.text).append(data)
+        if self.depth:
+            self.flat.append(data)
 
 
 def html_elements(html: str) -> list[tuple[str, str]]:
-    """(element type, text) of a page, in order; tables as Markdown, empty elements left out."""
-    parser = _Elements()
-    parser.feed(html)
-    parser.close()
-    parser._close()
-    return parser.out
+    """(element type, text) of a page, in order; tables as Markdown, or as text where that is empty;
+    empty elements left out.
+
+    A table that never ends has the rows that ended, and the page goes on behind them; a noscript or
+    template that never ends hides nothing."""
+    out: list[tuple[str, str]] = []
+    while True:
+        parser = _Elements()
+        parser.feed(html)
+        parser.close()
+        shown = frozenset(at for tag, at in parser.hidden if tag in ("noscript", "template"))
+        if shown:
+            parser = _Elements(shown)
+            parser.feed(html)
+            parser.close()
+        if not parser.depth:
+            parser._close()
+            return out + parser.out
+        line, column, skip = parser.rest
+        parser._close_table(*parser.rows)
+        out += parser.out
+        html = html.split("\n", line - 1)[-1][column + skip :]
 
 
 def parsed_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

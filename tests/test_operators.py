@@ -158,6 +158,18 @@ def test_html():
     assert files.html_elements(page) == [("Title", "A & B"), ("Title", "Top"), ("NarrativeText", "One two"), ("ListItem", "item"), ("Table", "| k |\n| --- |\n| v |"), ("UncategorizedText", "loose")]
 
 
+def test_html_unclosed():
+    rows = "<tr><th>k</th></tr>\n<tr><td>v</td></tr>"
+    table = ("Table", "| k |\n| --- |\n| v |")
+    assert files.html_elements(f"<p>a</p>\n<table>{rows}\n<tr><td>last<td>cell<p>after</p>end") == [("NarrativeText", "a"), table, ("UncategorizedText", "last"), ("UncategorizedText", "cell"), ("NarrativeText", "after"), ("UncategorizedText", "end")]
+    assert files.html_elements("<table><p>all text</p>") == [("NarrativeText", "all text")]
+    assert files.html_elements(f"<table>{rows}<p>x</p><table>{rows}</table><p>y</p>") == [table, ("NarrativeText", "x"), table, ("NarrativeText", "y")]
+    assert files.html_elements("<table><tr><td>a<td>b</table><p>c</p>") == [("Table", "a b"), ("NarrativeText", "c")]
+    for tag in ("noscript", "template"):
+        assert files.html_elements(f"<p>a</p><{tag}><p>b</p><script>s</script><p>c</p>") == [("NarrativeText", x) for x in "abc"]
+        assert files.html_elements(f"<p>a</p><{tag}><p>b</p></{tag}><p>c</p>") == [("NarrativeText", x) for x in "ac"]
+
+
 class Memory(connector.Connector):
     name = "memory"
 
