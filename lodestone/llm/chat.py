@@ -170,17 +170,21 @@ def parse(chunks: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
     talk ends and the next begins is read from the lines alone. Returns one row per recovered turn:
     ``conv_id, turn_no`` (from 0)``, role, content``.
 
-    Pieces of a conversation are ordered by turn (nulls first), then text; equal pieces count once; a
-    null text is an empty line; a null conv_id is a conversation of its own. Empty input, empty
-    result.
+    Pieces of a conversation are ordered by turn (nulls first), then text; equal pieces of one turn
+    number count once, those without a number each; a null text is an empty line; a null conv_id is a
+    conversation of its own. Empty input, empty result.
+
+    Pieces are numbered through in that order over all conversations, and a segment is ``segment``
+    numbers, whatever their turns are.
     """
     ensure_workers(chunks.sparkSession)
-    rows = chunks.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    order = F.coalesce(F.col("turn").cast("bigint"), F.lit(-(1 << 62)))
-    rows = rows.select("conv_id", F.floor(order / F.lit(segment)).cast("bigint").alias("seg"), order.alias("pos"), "text")
-    whole = rows.groupBy("conv_id").agg(F.min("seg").alias("first"), F.max("seg").alias("last"))
-    rows = materialise(rows.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "pos", "text"), "pieces")
-    cut = rows.join(whole.where("first <> last"), rows.conv_id.eqNullSafe(whole.conv_id)).select(rows.conv_id, "seg", "pos", "text", (F.col("seg") == F.col("first")).alias("opening"))
+    own = F.when(F.col("turn").isNull(), F.monotonically_increasing_id()).alias("own")
+    rows = chunks.select("conv_id", F.col("turn").cast("bigint").alias("turn"), F.coalesce("text", F.lit("")).alias("text"), own).distinct()
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "text", "own")]
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "text", F.monotonically_increasing_id().alias("pos"))
+    rows = materialise(rows, "pieces").withColumn("seg", F.floor(F.col("pos") / F.lit(segment)).cast("bigint"))
+    whole = rows.groupBy(F.col("conv_id").alias("whole_id")).agg(F.min("seg").alias("first"), F.max("seg").alias("last"))
+    cut = rows.join(whole.where("first <> last"), F.col("conv_id").eqNullSafe(F.col("whole_id"))).select("conv_id", "seg", "pos", "text", (F.col("seg") == F.col("first")).alias("opening"))
 
     def matrices(batches):
         for (conv, seg), rs in _runs(batches, ("conv_id", "seg"), ("text", "opening")):
@@ -201,9 +205,10 @@ def parse(chunks: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
             at = at[::-1]
             yield pa.RecordBatch.from_arrays([pa.array([conv] * len(rs), pa.int64()), pa.array([r[0] for r in rs], pa.int64()), pa.array([None, *at[:-1]], pa.int32()), pa.array(at, pa.int32())], names=["conv_id", "seg", "before", "after"])
 
-    m = cut.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "pos", "text").mapInArrow(tk.lean(matrices), "conv_id bigint, seg bigint, m binary")
+    m = cut.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "pos").mapInArrow(tk.lean(matrices), "conv_id bigint, seg bigint, m binary")
     fixed = m.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(tk.lean(ends), "conv_id bigint, seg bigint, before int, after int")
-    joined = rows.join(fixed, rows.conv_id.eqNullSafe(fixed.conv_id) & (rows.seg == fixed.seg), "left").select(rows.conv_id, rows.seg, "pos", "text", "before", "after")
+    fixed = fixed.withColumnsRenamed({"conv_id": "fixed_id", "seg": "fixed_seg"})
+    joined = rows.join(fixed, F.col("conv_id").eqNullSafe(F.col("fixed_id")) & (F.col("seg") == F.col("fixed_seg")), "left").select("conv_id", "seg", "pos", "text", "before", "after")
 
     def decode(batches):
         for (conv, seg), rs in _runs(batches, ("conv_id", "seg"), ("text", "before", "after")):
@@ -224,7 +229,7 @@ def parse(chunks: DataFrame, model: Model, segment: int = SEGMENT) -> DataFrame:
             n = len(parts)
             yield pa.RecordBatch.from_arrays([pa.array([conv] * n, pa.int64()), pa.array([seg] * n, pa.int64()), pa.array(begun, pa.int64()), pa.array([ROLES[r] for r in roles], pa.string()), pa.array(["\n".join(p) for p in parts], pa.string())], names=["conv_id", "seg", "begun", "role", "piece"])
 
-    pieces = joined.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "pos", "text").mapInArrow(tk.lean(decode), "conv_id bigint, seg bigint, begun bigint, role string, piece string")
+    pieces = joined.repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "pos").mapInArrow(tk.lean(decode), "conv_id bigint, seg bigint, begun bigint, role string, piece string")
     pieces = materialise(pieces, "turns")
     # turns begun in earlier segments of the conversation: a row per segment
     ahead = Window.partitionBy("conv_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)

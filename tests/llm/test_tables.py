@@ -141,6 +141,29 @@ def test_chat_odd_rows(spark):
     assert chat.report(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_chat_keeps_turns_without_a_number(spark):
+    said = [("user", "again?"), ("user", "again?"), ("assistant", "yes"), ("assistant", "yes"), ("assistant", "yes")]
+    rows = [(1, None, r, t) for r, t in said] + [(None, None, "user", f"q {i % 3}?") for i in range(40)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    for segment in (3, 512):
+        got = defaultdict(list)
+        for r in chat.parse(chat.transcripts(df), chat.fit(df), segment).orderBy("turn_no").collect():
+            got[r.conv_id].append((r.role, r.content))
+        assert got == {1: sorted(said), None: sorted((r, t) for c, _, r, t in rows if c is None)}
+
+
+def test_chat_segments_are_bounded(spark, monkeypatch):
+    """However many pieces of a conversation have one turn number or none, a segment has few."""
+    seen = []
+    kept = chat.materialise
+    monkeypatch.setattr(chat, "materialise", lambda df, name, *a: seen.append(df) or kept(df, name, *a))
+    rows = [(1, i % 2 or None, "user", f"q {i}?") for i in range(200)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    assert chat.parse(chat.transcripts(df), chat.fit(df), 7).count() == 200
+    sizes = [r["count"] for r in seen[-1].groupBy("conv_id", "seg").count().collect()]
+    assert len(sizes) >= 200 / 7 and max(sizes) <= 7
+
+
 # -- vectors
 
 
