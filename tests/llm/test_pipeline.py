@@ -1,8 +1,13 @@
 """The pipeline against a plain version of each stage on its own input."""
 
+import math
+from collections import defaultdict
+
 import corpus_pipeline
+import numpy as np
 from helpers import SF_CORRECT
 from test_decontaminate import brute as brute_leaks
+from test_decontaminate import words
 from test_ngram_join import brute as brute_links
 from test_tables import brute_lines
 from test_texts import expected, library
@@ -51,3 +56,58 @@ def test_stages(spark, duck):
 def test_run_equals_the_stages(spark):
     out = corpus_pipeline.run(spark, SF_CORRECT)
     assert out.columns[0] == "doc_id" and 800 < out.count() < 1000
+
+
+def plain_language(model, text):
+    """(rejected, how clear that is): nearest centroid over hashed trigrams, a letter at a time."""
+    codes = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+    counts = np.zeros(langid.DIMS)
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        if b:
+            h = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) * 0xD6E8FEB86659FD93 % (1 << 64)
+            counts[h >> (64 - langid.BITS)] += 1
+    if not counts.any():
+        return True, 1.0
+    x = np.log1p(counts) * model.idf
+    cos = model.centre.astype(float) @ (x / np.sqrt((x * x).sum()))
+    best = int(cos.argmax())
+    margin = cos[best] - model.floor[best] * min(1.0, math.sqrt(counts.sum() / 200))
+    return margin < 0, abs(margin)
+
+
+def holds_leak(text, windows, sizes):
+    """Whether passages cover a twentieth of the words; ``windows``: of each first word, all from there."""
+    w, hit = words(text), set()
+    for s, first in enumerate(w):
+        for k in sizes.get(first, ()):
+            if tuple(w[s : s + k]) in windows[first]:
+                hit.update(range(s, s + k))
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_every_row_of_the_language_and_leak_stages(spark, duck):
+    docs = spark.read.parquet(f"{SF_CORRECT}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+
+    model = langid.fit(docs)
+    judged = {r.doc_id: plain_language(model, r.text or "") for r in docs.collect()}
+    clear = {i for i, (_, margin) in judged.items() if margin > 1e-5}
+    after = materialise(stages["language"](spark, docs, SF_CORRECT), "language")
+    assert len(clear) > 0.99 * len(judged) and any(no for no, _ in judged.values())
+    assert [i for i in ids(after) if i in clear] == sorted(i for i in clear if not judged[i][0])
+
+    before = after
+    for name in ("lines", "near_copies"):
+        before = materialise(stages[name](spark, before, SF_CORRECT), name)
+    after = materialise(stages["benchmark_leaks"](spark, before, SF_CORRECT), "benchmark_leaks")
+    windows, sizes = defaultdict(set), defaultdict(set)
+    for (text,) in duck.sql("select text from benchmark").fetchall():
+        v = words(text)
+        k = min(13, len(v))
+        for a in range(len(v) - k + 1 if v else 0):
+            windows[v[a]].add(tuple(v[a : a + k]))
+            sizes[v[a]].add(k)
+    rows = before.select("doc_id", "text").collect()
+    assert windows and ids(after) == sorted(r.doc_id for r in rows if not holds_leak(r.text, windows, sizes))
+    assert len(ids(after)) < len(rows)
