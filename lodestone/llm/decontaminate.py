@@ -214,6 +214,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without contaminated documents."""
-    found = find_contamination(packed(docs, "doc_id", "text"), benchmark).withColumn("n_hit", n_hit())
-    return unpacked(found.where(~contaminated()), docs.columns, "doc_id", "text")
+    """``docs`` without those that hold any window of the benchmark, however long they are.
+
+    The share of hit words, by which :func:`report` calls a document contaminated, plays no part: a
+    passage leaks as well from a long document as from a short one. Documents with null texts and,
+    if the benchmark has no words, all documents stay."""
+    found = find_contamination(packed(docs, "doc_id", "text"), benchmark)
+    return unpacked(found.where(F.size("hit_spans") == 0), docs.columns, "doc_id", "text")

@@ -52,7 +52,18 @@ def test_whole_texts_and_empty_tables(spark, odd, none):
     assert clean.count() == odd.count() and clean.where("contaminated or n_hit > 0").count() == 0
     left = d.drop_contaminated(odd, bench)
     assert left.columns == odd.columns
-    assert left.count() == odd.count() - d.report(odd, bench).where("contaminated").count()
+    assert left.count() == odd.count() - d.report(odd, bench).where("n_hit > 0").count()
+
+
+def test_a_passage_in_a_long_document_goes(spark):
+    passage = " ".join(f"p{i}" for i in range(13))
+    body = [f"w{i}" for i in range(5000)]
+    rows = [(1, " ".join([*body[:3000], passage, *body[3000:]])), (2, " ".join(body)), (3, " ".join([*body[:10], *passage.split()[:12], *body[10:]])), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    assert not d.report(docs, bench).where("contaminated").count()
+    assert sorted(r.doc_id for r in d.drop_contaminated(docs, bench).collect()) == [2, 3, 4]
+    assert d.drop_contaminated(docs, bench.where("false")).count() == 4
 
 
 def test_lanes_find_every_place():

@@ -44,9 +44,9 @@ def test_stages(spark, duck):
     items = duck.sql("select item_id, text from benchmark").fetchall()
     got = {i for i, _ in rows(after)}
     gone = [(i, t) for i, t in rows(before) if i not in got]
-    assert all(v[-1] for v in brute_leaks(gone, items)) and gone
+    assert all(v[2] for v in brute_leaks(gone, items)) and gone
     kept = [(i, t) for i, t in rows(after)][::25]
-    assert not any(v[-1] for v in brute_leaks(kept, items))
+    assert not any(v[2] for v in brute_leaks(kept, items))
 
     before, after = frames["tokens"]
     lib = library()
@@ -76,13 +76,9 @@ def plain_language(model, text):
 
 
 def holds_leak(text, windows, sizes):
-    """Whether passages cover a twentieth of the words; ``windows``: of each first word, all from there."""
-    w, hit = words(text), set()
-    for s, first in enumerate(w):
-        for k in sizes.get(first, ()):
-            if tuple(w[s : s + k]) in windows[first]:
-                hit.update(range(s, s + k))
-    return bool(hit) and 20 * len(hit) >= len(w)
+    """Whether a window stands anywhere; ``windows``: of each first word, all from there."""
+    w = words(text)
+    return any(tuple(w[s : s + k]) in windows[first] for s, first in enumerate(w) for k in sizes.get(first, ()))
 
 
 def test_every_row_of_the_language_and_leak_stages(spark, duck):
