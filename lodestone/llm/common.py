@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_workers, shared_dir, table
 
-__all__ = ["components", "discard", "ensure_workers", "materialise", "new_path", "packed", "shared_dir", "table", "unpacked"]
+__all__ = ["components", "discard", "ensure_workers", "materialise", "new_path", "packed", "shared_dir", "table", "unclashing", "unpacked"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -71,6 +71,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(hubs)
 
 
+def unclashing(columns: list[str], *added: str) -> list[str]:
+    """``columns`` without those that bear the name of an added one, in either case: these give way."""
+    taken = {a.lower() for a in added}
+    return [c for c in columns if c.lower() not in taken]
+
+
 def packed(docs: DataFrame, *needed: str) -> DataFrame:
     """``docs`` as its ``needed`` columns and one struct of all the rest, so that no other column's
     name can clash with one that an operator adds."""

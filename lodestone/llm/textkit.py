@@ -50,7 +50,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Words:
     """Words of several texts: ``buf`` lower-cased bytes, ``start``/``end`` byte spans, ``first`` the
-    index of each text's first word (one more entry closes the last), ``hash`` 64-bit word hashes."""
+    index of each text's first word (one more entry closes the last), ``hash`` 64-bit word hashes.
+
+    Texts are held whole: three bytes for each of theirs and 24 for a word, so about ten for one of
+    prose; hashing works on pieces of ``PIECE`` bytes."""
 
     __slots__ = ("buf", "end", "first", "hash", "start")
 
@@ -80,6 +83,14 @@ class Words:
             lo = hi
         self.hash = mix(self.hash ^ (self.end - self.start).astype(np.uint64))
 
+    def spaced(self) -> bytes:
+        """All words with one space between."""
+        return b" ".join(self.buf[a:b].tobytes() for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True))
+
+    def spaced_at(self, i: np.ndarray) -> np.ndarray:
+        """Where words begin in :meth:`spaced`."""
+        return np.concatenate(([0], np.cumsum(self.end - self.start + 1)))[i]
+
     def joined(self, a: int, b: int) -> bytes:
         """Words a..b-1 with single spaces between."""
         return b" ".join(self.buf[self.start[i] : self.end[i]].tobytes() for i in range(a, b))

@@ -79,5 +79,21 @@ def test_lanes_find_every_place():
     assert items[1] == {"c"} and items[2] == set() and spans[2] == []
 
 
+def test_clashing_names_give_way(spark, odd):
+    bench = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    extra = odd.selectExpr("*", "1 as HIT_SPANS", "2 as n_hits")
+    found = d.find_contamination(extra, bench)
+    assert found.columns == [*[c for c in odd.columns if c != "n_words"], "n_hits", "n_words", "hit_spans", "hit_items"]
+    assert found.where("doc_id = 14 and n_words = 20000").count() == 1
+    assert d.drop_contaminated(extra, bench).columns == extra.columns
+
+
+def test_equal_windows_are_one():
+    index = d.BenchmarkIndex([("a", b"word " * 30), ("b", b"word " * 20), (None, b"word " * 13), ("c", b"x y")])
+    assert [len(s.whole) for s in index.searches] == [1, 1]
+    _, spans, items = index.search([b"word " * 14 + b"x y"])
+    assert d.merge_spans(spans[0]) == [(0, 16)] and items == [{"a", "b", "c"}]
+
+
 def test_query_is_whole(spark):
     assert queries.op1_decontaminate(spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
