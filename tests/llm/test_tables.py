@@ -187,20 +187,35 @@ def test_nearest_odd_rows(spark):
     assert ann.report(df.where("false")).count() == 0
 
 
-def test_nearest_repeated_query_rows(spark):
+@pytest.mark.parametrize("blocks", [{}, {"block_bytes": 40, "candidate_bytes": 200}])
+def test_nearest_repeated_query_rows(spark, blocks):
+    """Only one row, the query's own, is left out, whatever else has its id."""
     rng = np.random.default_rng(11)
     one, other = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
-    rows = [(50, one)] * 6 + [(51, one), (52, one), (53, one)]
+    rows = [(50, one)] * 3 + [(51, one), (52, one), (53, one)]
     rows += [(99, other), *[(100, other)] * 12, *[(101, other)] * 2, (102, other), (103, other)]  # the query is not of least id
-    rows += [(200 + i, [float(v) for v in rng.normal(size=4)]) for i in range(30) if i % 50]
+    rows += [(150, [0.0, 0.0, 1.0, 1.0]), (150, [0.0, 0.0, 1.0, 0.9]), (150, [0.0, 0.0, 0.0, 0.0])]
+    rows += [(200 + i, [float(v) for v in rng.normal(size=4)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = defaultdict(list)
-    for r in ann.report(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1)).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df.repartition(3), df.where("vec_id % 50 = 0"), **blocks).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     want = {}
-    for q, x in ((50, one), (100, other)):
-        near = sorted((-round(float(np.dot(x, y) / np.linalg.norm(y)), 12), i) for i, y in rows if i != q)
+    sound = [(i, x) for i, x in rows if any(x)]
+    for q in {i for i, _ in sound if i % 50 == 0}:
+        x = min(x for i, x in sound if i == q)
+        rest = list(sound)
+        rest.remove((q, x))
+        near = sorted((-round(float(np.dot(x, y) / np.linalg.norm(y) / np.linalg.norm(x)), 12), i) for i, y in rest)
         want[q] = [i for _, i in near[:5]]
-    assert got == want and want[50][:3] == [51, 52, 53] and want[100] == [99, 101, 101, 102, 103]
+    assert got == want and want[50] == [50, 50, 51, 52, 53] and want[100] == [99, 100, 100, 100, 100] and want[150][0] == 150
+
+
+def test_meeting_blocks_equal_one_block(spark):
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+    q = emb.where("vec_id % 50 = 0")
+    one, many = (sorted(tuple(r) for r in ann.nearest(emb, q, **b).collect()) for b in ({}, {"block_bytes": 600, "candidate_bytes": 5000}))
+    assert one == many and one
 
 
 def test_first_copies_keep_every_querys_nearest():
@@ -210,10 +225,8 @@ def test_first_copies_keep_every_querys_nearest():
         ids, x = rng.integers(0, 8, n), rng.integers(0, 2, (n, 1)).astype(float) + 1
         keep = ann.first_copies(ids, x, k)
         for v in (1.0, 2.0):
-            for q in range(-1, 9):
-                best = lambda at: sorted(i for i, y in zip(ids[at].tolist(), x[at, 0].tolist(), strict=True) if y == v and i != q)[:k]  # noqa: B023, E731
-                assert best(keep) == best(np.arange(n))
-            assert (x[keep, 0] == v).sum() <= 2 * k + 1
+            best = lambda at: sorted(i for i, y in zip(ids[at].tolist(), x[at, 0].tolist(), strict=True) if y == v)[:k]  # noqa: B023, E731
+            assert best(keep) == best(np.arange(n)) and (x[keep, 0] == v).sum() <= k
 
 
 def test_int8_bound_holds():
