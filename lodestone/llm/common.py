@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_workers, shared_dir, table
 
-__all__ = ["components", "discard", "ensure_workers", "materialise", "new_path", "packed", "shared_dir", "table", "unclashing", "unpacked"]
+__all__ = ["components", "discard", "ensure_workers", "looked_up", "materialise", "new_path", "packed", "shared_dir", "table", "unclashing", "unpacked"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -38,33 +38,49 @@ def discard(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+#: A key is hot if it has more than this many rows and more than one in ``HOT_KEYS`` of all rows; so
+#: there are fewer than ``HOT_KEYS`` of them, and a table of them may be broadcast.
+HOT_ROWS, HOT_KEYS = 256, 1000
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``lookup`` (unique ``keys``) in which no key is hot.
+
+    ``weight``: a column of ``lookup``, the number of rows with its key; ``total``: of all rows, or a
+    stated fraction of them. Rows of hot keys meet their partners by broadcast and stay where they are,
+    all others by a shuffle. ``rows`` is read twice, so it should be a written table."""
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(lookup.where(F.col(weight) > least))
+    rest = lookup.where(F.col(weight) <= least)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``.
 
     Returns ``node, component`` where component is the least node of its component; nodes without
     an edge do not appear. Alternates large-star and small-star steps (Kiveris et al. 2014) until
     the edge set is a forest of stars; each round is one written table, so nothing is gathered on
-    the driver and a star's hub is a plain join key that adaptive execution may split.
+    the driver, and the hub of a large star is looked up by broadcast.
     """
-    both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     cur = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    seen = state(cur)
     for _ in range(max_rounds):
         # large star: every larger neighbour of a node is hung on the least of its neighbourhood
-        near = both(cur)
-        least = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = near.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b")
+        near = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = looked_up(near.where("b > a"), least, ["a"], "n", seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialise(large.where("a <> b").distinct(), "stars")
         # small star: every smaller neighbour of a node, and the node, is hung on the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = looked_up(large, least, ["a"], "n", seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         nxt = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
-        state = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         discard(cur)
-        cur = nxt
-        if state == seen:
+        discard(large)
+        cur, before, seen = nxt, seen, state(nxt)
+        if before == seen:
             break
-        seen = state
     else:
         raise RuntimeError("connected components did not settle")
     hubs = cur.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))

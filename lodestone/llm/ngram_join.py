@@ -1,13 +1,17 @@
 """N-gram Jaccard self-join with Bayesian pruning of candidates.
 
 Documents are sets of five-word shingles; a link joins two different sets whose Jaccard similarity
-is 0.8 or more. Rows of one set are a class and are never paired with each other. MinHash bands
-group classes that may be linked; inside a group, signatures are compared a few values at a time
-and a pair is dropped once the posterior probability that it reaches the threshold is below the
-tolerance (Satuluri and Parthasarathy 2012); the rest are verified on the shingles themselves.
-
-A group of g classes is cut into blocks; a task compares two blocks and returns one row per class
-with links (how many) and one edge per class towards its tree, never the pairs.
+is 0.8 or more. Rows of one set are a class and are never paired with each other. Classes that share
+a MinHash band lie in one bucket; inside it, signatures are compared a few values at a time and a
+pair is dropped once the posterior probability that it reaches the threshold is below the tolerance
+(Satuluri and Parthasarathy 2012). Only classes with a pair that is left have their texts fetched,
+and these pairs are verified on the shingles themselves.
+
+Buckets of equal members are one. A pair in several buckets counts in the first of them; where the
+buckets of a connected component would cost more comparisons than the component as a whole, as in a
+tight group of near copies, the component is the bucket. A large bucket is cut into blocks of bounded
+rows and bytes, two of which meet in a task; a task returns one row per class with links (how many)
+and one edge per class towards its tree, never the pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import components, ensure_workers, materialise, packed, unpacked
+from .common import components, discard, ensure_workers, looked_up, materialise, packed, unpacked
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -31,18 +35,19 @@ HASHES = ROWS * BANDS
 #: A pair is dropped when reaching the threshold is less probable than this.
 TOLERANCE = 1e-9
 STEP = 20
-#: Classes in a block, on average.
-BLOCK = 256
+#: Classes and bytes of text in a block, on average; a longer text is a block's own.
+BLOCK, BLOCK_BYTES = 512, 8 << 20
 
 _A = np.random.default_rng(8191).integers(1, 2**62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """MinHash values of a shingle set (multiply-shift of mixed hashes, upper halves)."""
+    """MinHash values of a shingle set (multiply-shift of mixed hashes), cut to 16 bits: unequal values
+    agree once in 65,536 times, which can only keep a pair that verification then refuses."""
     out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
     for lo in range(0, len(s), 512):
         np.minimum(out, (_A[:, None] * s[None, lo : lo + 512]).min(1), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (out >> np.uint64(32)).astype(np.uint16)
 
 
 def band_keys(sig: np.ndarray) -> np.ndarray:
@@ -147,67 +152,158 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return [(x, r) for x in range(n) if (r := find(x)) != x]
 
 
+def in_first_bucket(sig: np.ndarray, mask: np.ndarray, t: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of pairs of rows in a bucket of band ``t``: whether no bucket of a lesser band has both.
+    ``mask``: the bands in which a row has a bucket."""
+    keep = np.zeros(len(i), bool)
+    bit = np.int64(1) << np.arange(BANDS, dtype=np.int64)
+    for lo in range(0, len(i), 1 << 14):
+        a, b = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+        same = (sig[a] == sig[b]).reshape(-1, BANDS, ROWS).all(2)
+        same &= ((mask[a] & mask[b])[:, None] & bit) != 0
+        keep[lo : lo + (1 << 14)] = same[:, t] & ~same[:, :t].any(1)
+    return keep
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = tk.column_bytes(b, "text")
-        ids, n, bands = [], [], []
+        ids, n, sigs, bands = [], [], [], []
         for lo, hi in tk.slices([len(t or b"") for t in texts]):
             for s in tk.shingle_sets(texts[lo:hi], WIDTH):
                 ids.append(class_key(s))
                 n.append(len(s))
-                bands.append(band_keys(signature(s)) if len(s) else None)
-        yield tk.replace_columns(b, ["doc_id", "th1", "th2"], cid=pa.array(ids, pa.binary()), n_shingles=pa.array(n, pa.int64()), bands=pa.array(bands, pa.list_(pa.int64())))
+                sig = signature(s) if len(s) else None
+                sigs.append(None if sig is None else sig.tobytes())
+                bands.append(None if sig is None else band_keys(sig))
+        size = [len(t or b"") for t in texts]
+        yield tk.replace_columns(b, ["doc_id", "th1", "th2"], cid=pa.array(ids, pa.binary()), n_shingles=pa.array(n, pa.int64()), n_bytes=pa.array(size, pa.int64()), sig=pa.array(sigs, pa.binary()), bands=pa.array(bands, pa.list_(pa.int64())))
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by task; each run of one task is compared as a whole."""
-    held: list[tuple] = []
-    out: list[tuple[bytes, bytes | None, int]] = []
+MEETING = ("task", "cid", "side", "alone", "band", "mask", "sig")
 
-    def flush() -> None:
-        seen: dict[bytes, int] = {}
-        sets, size, side = [], [], []
-        texts = [r[4] for r in held]
-        for lo, hi in tk.slices([len(t or b"") for t in texts]):
-            for r, s in zip(held[lo:hi], tk.shingle_sets(texts[lo:hi], WIDTH), strict=True):
-                if class_key(s) == r[1] and r[1] not in seen:  # rows that share an id with the chosen one drop out
-                    seen[r[1]] = len(sets)
-                    sets.append(s)
-                    size.append(r[2])
-                    side.append(r[3])
-        if len(sets) < 2:
-            return
-        sig = np.array([signature(s) for s in sets])
-        names, side = list(seen), np.array(side)
-        mine = np.flatnonzero(side == 0)
-        i, j = surviving_pairs(sig, mine, None if held[0][5] else np.flatnonzero(side == 1))
+
+class Meeting:
+    """The rows of one task: the classes of one block, or of two."""
+
+    def __init__(self, task: int):
+        self.task, self.rows, self.seen = task, [], set()
+
+    def add(self, row: tuple) -> None:
+        """``row``: the columns of MEETING, and what else belongs to the class."""
+        if row[1] not in self.seen:
+            self.seen.add(row[1])
+            self.rows.append(row)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.rows) < 2:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        sig = np.frombuffer(b"".join(r[6] for r in self.rows), np.uint16).reshape(-1, HASHES)
+        side = np.array([r[2] for r in self.rows])
+        i, j = surviving_pairs(sig, np.flatnonzero(side == 0), None if self.rows[0][3] else np.flatnonzero(side == 1))
+        if self.rows[0][4] is not None and len(i):
+            ok = in_first_bucket(sig, np.array([r[5] for r in self.rows], np.int64), self.rows[0][4], i, j)
+            i, j = i[ok], j[ok]
+        return i, j
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[Meeting]:
+    """Rows come sorted by task."""
+    held: Meeting | None = None
+    for b in batches:
+        cols = [b.column(b.schema.get_field_index(k)).to_pylist() for k in (*MEETING, *more)]
+        for row in zip(*cols, strict=True):
+            if held is not None and held.task != row[0]:
+                yield held
+                held = None
+            held = held or Meeting(row[0])
+            held.add(row)
+    if held is not None:
+        yield held
+
+
+def _table(rows: list[tuple], *columns: tuple[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(columns)], names=[n for n, _ in columns])
+
+
+def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The classes of each task that have a pair left, by signatures alone."""
+    for m in _meetings(batches):
+        i, j = m.pairs()
+        rows = [m.rows[x][:6] for x in np.unique(np.concatenate([i, j])).tolist()]
+        if rows:
+            yield _table(rows, ("task", pa.int64()), ("cid", pa.binary()), ("side", pa.int32()), ("alone", pa.bool_()), ("band", pa.int32()), ("mask", pa.int64()))
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links and trees of each task's classes, by shingles."""
+
+    def known(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose text is of their class; its shingles in place of the text."""
+        for b in rows:
+            texts, cids = tk.column_bytes(b, "text"), b.column(b.schema.get_field_index("cid")).to_pylist()
+            for lo, hi in tk.slices([len(t or b"") for t in texts]):
+                sets = tk.shingle_sets(texts[lo:hi], WIDTH)
+                own = [class_key(s) == c for s, c in zip(sets, cids[lo:hi], strict=True)]
+                part = b.slice(lo, hi - lo).drop_columns(["text"]).append_column("set", pa.array([s.tobytes() for s in sets], pa.binary()))
+                yield part.filter(pa.array(own))
+
+    for m in _meetings(known(batches), "members", "set"):
+        i, j = m.pairs()
+        sets = [np.frombuffer(r[-1], np.uint64) for r in m.rows]
         ok = verify(sets, i, j)
         i, j = i[ok], j[ok]
-        links = np.zeros(len(sets), np.int64)
-        weight = np.array(size, np.int64)
+        links, weight = np.zeros(len(sets), np.int64), np.array([r[-2] for r in m.rows], np.int64)
         np.add.at(links, i, weight[j])
         np.add.at(links, j, weight[i])
         tree = dict(forest(len(sets), i, j))
-        out.extend((names[x], names[tree[x]] if x in tree else None, int(links[x])) for x in np.flatnonzero(links).tolist())
-
-    def rows() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.binary()), pa.array([r[2] for r in out], pa.int64())], names=["cid", "peer", "links"])
-        out.clear()
-        return batch
-
-    for b in batches:
-        cols = [b.column(b.schema.get_field_index(k)).to_pylist() for k in ("task", "cid", "members", "side")]
-        for r in zip(*cols, tk.column_bytes(b, "text"), b.column(b.schema.get_field_index("alone")).to_pylist(), strict=True):
-            if held and held[0][0] != r[0]:
-                flush()
-                held = []
-            held.append(r)
-        if out:
-            yield rows()
-    if held:
-        flush()
-    if out:
-        yield rows()
+        rows = [(m.rows[x][1], m.rows[tree[x]][1] if x in tree else None, int(links[x])) for x in np.flatnonzero(links).tolist()]
+        if rows:
+            yield _table(rows, ("cid", pa.binary()), ("peer", pa.binary()), ("links", pa.int64()))
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """``cid, bucket, band, mask, blocks``: the classes of every bucket that has several; a null band
+    says that the bucket is a component of others."""
+    band = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    own = F.xxhash64("node")
+    shared = band.groupBy("key").agg(F.min("band").alias("band"), F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y")).where("hub <> far")
+    # buckets of equal members: the first stands for all
+    kept = shared.groupBy("hub", "far", "n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.key", "hub", "n")
+    kept = materialise(kept, "kept")
+    rows = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    written = materialise(band, "bands")
+    members = materialise(looked_up(written, kept, ["key"], "n", rows), "members")
+    discard(written)
+    groups = materialise(components(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "groups")
+    size = groups.groupBy("component").agg(F.count("*").cast("double").alias("size"))
+    # comparisons of a component's buckets against those of the whole
+    cost = kept.join(groups, F.col("hub") == F.col("node")).groupBy("component").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"))
+    whole = size.join(cost, "component").select("component", (F.col("size") * F.col("size") <= F.col("cost")).alias("whole"), F.col("size").cast("bigint").alias("size"))
+    whole = materialise(looked_up(groups, whole, ["component"], "size", rows).select("node", "component", "whole"), "wholes")
+    discard(groups)
+    none = F.lit(None)
+    once = whole.where("whole").select("node", F.col("component").alias("bucket"), none.cast("int").alias("band"), none.cast("bigint").alias("mask"))
+    split = members.join(whole.where("not whole").select("node"), "node", "left_semi")
+    bits = split.groupBy("node").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
+    each = split.join(bits, "node").select("node", F.col("key").alias("bucket"), F.col("band").cast("int").alias("band"), "mask")
+    rows = once.unionByName(each).join(classes.select("node", "cid", "n_bytes"), "node")
+    rows = materialise(rows.select("cid", "n_bytes", F.xxhash64("bucket", "band").alias("bucket"), "band", "mask"), "buckets")
+    for spent in (kept, members, whole):
+        discard(spent)
+    blocks = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    return looked_up(rows, blocks, ["bucket"], "size", rows.count()).select("cid", "bucket", "band", "mask", "blocks")
+
+
+def _tasks(rows: DataFrame) -> DataFrame:
+    """A row for every meeting of its block: alone, or as the lower or the upper of two."""
+    block = F.pmod(F.xxhash64("cid"), F.col("blocks").cast("bigint")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(block, o).alias("lo"), F.greatest(block, o).alias("hi"), (block > o).cast("int").alias("side")))
+    return rows.withColumn("meet", F.explode(meets)).select(F.xxhash64("bucket", "meet.lo", "meet.hi").alias("task"), "cid", "meet.side", (F.col("meet.lo") == F.col("meet.hi")).alias("alone"), "band", "mask", "sig")
+
+
+def _by_task(rows: DataFrame) -> DataFrame:
+    return rows.repartition("task").sortWithinPartitions("task")
 
 
 def _text_hash() -> list:
@@ -219,25 +315,24 @@ def _resolved(docs: DataFrame) -> DataFrame:
     the least row (with an id, if any has one) of all that are joined with this one."""
     ensure_workers(docs.sparkSession)
     base = docs.select("doc_id", "text", *_text_hash())
-    feats = materialise(base.mapInArrow(tk.lean(_features), "doc_id bigint, th1 bigint, th2 bigint, cid binary, n_shingles bigint, bands array<bigint>"), "shingles")
+    feats = materialise(base.mapInArrow(tk.lean(_features), "doc_id bigint, th1 bigint, th2 bigint, cid binary, n_shingles bigint, n_bytes bigint, sig binary, bands array<bigint>"), "shingles")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th1", "th2")
-    # candidate groups work on the first half of the class key: a clash there only widens a group
+    # buckets work on the first half of the class key: a clash there only widens one
     half = F.conv(F.hex(F.substring("cid", 1, 8)), 16, -10).cast("bigint")
-    classes = feats.where("cid is not null").groupBy("cid").agg(F.min(row).alias("rep"), F.count("*").alias("members"), F.first("bands").alias("bands"))
+    classes = feats.where("cid is not null").groupBy("cid").agg(F.min(row).alias("rep"), F.count("*").alias("members"), F.max("n_bytes").alias("n_bytes"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = materialise(classes.withColumn("node", half), "classes")
-    band = classes.select("node", F.explode("bands").alias("band"))
-    shared = band.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub <> far").select("band", "hub")
-    groups = materialise(components(band.join(shared, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "groups")
-    sizes = groups.groupBy("component").count().select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    chosen = classes.drop("bands").join(groups, "node").join(sizes, "component").select("rep.doc_id", "rep.th1", "rep.th2", "cid", "members", "component", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks").cast("bigint")).cast("int").alias("block"))
+    buckets = _buckets(classes)
+    signed = _by_task(_tasks(buckets.join(classes.select("cid", "sig"), "cid")))
+    left = materialise(signed.mapInArrow(tk.lean(_survivors), "task bigint, cid binary, side int, alone boolean, band int, mask bigint"), "survivors")
+    # texts of the classes that are left, each looked for once
+    meets = left.groupBy("cid").agg(F.collect_list(F.struct("task", "side", "alone", "band", "mask")).alias("meets"))
+    chosen = classes.join(meets, "cid").select("rep.doc_id", "rep.th1", "rep.th2", "cid", "members", "sig", "meets")
     if repeats(feats):  # equal rows would all follow their class into one task
         base = base.dropDuplicates(["doc_id", "th1", "th2"])
-    rows = base.join(chosen, (base.th1 == chosen.th1) & (base.th2 == chosen.th2) & base.doc_id.eqNullSafe(chosen.doc_id)).select("cid", "members", "component", "blocks", "block", "text")
-    # block b meets every block: once alone, else as the lower or the upper of two
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi"), (F.col("block") > o).cast("int").alias("side")))
-    rows = rows.withColumn("meet", F.explode(meets)).select(F.xxhash64("component", "meet.lo", "meet.hi").alias("task"), "cid", "members", "meet.side", "text", (F.col("meet.lo") == F.col("meet.hi")).alias("alone"))
-    rows = rows.repartition("task").sortWithinPartitions("task")
-    found = materialise(rows.mapInArrow(tk.lean(_compare), "cid binary, peer binary, links bigint"), "links")
+    rows = base.join(chosen, (base.th1 == chosen.th1) & (base.th2 == chosen.th2) & base.doc_id.eqNullSafe(chosen.doc_id)).select("cid", "members", "sig", "text", F.explode("meets").alias("meet"))
+    rows = _by_task(rows.select("meet.*", "cid", "members", "sig", "text"))
+    found = materialise(rows.mapInArrow(tk.lean(_linked), "cid binary, peer binary, links bigint"), "links")
+    discard(left)
     tree = components(found.where("peer is not null").select(F.hex("cid").alias("a"), F.hex("peer").alias("b")))
     degree = found.groupBy("cid").agg(F.sum("links").alias("links"))
     per_class = classes.select("cid", "rep", "members").join(degree, "cid", "left").join(tree, F.hex("cid") == F.col("node"), "left")

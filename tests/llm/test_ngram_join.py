@@ -1,24 +1,35 @@
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from helpers import SF, SF_CORRECT
+from test_decontaminate import words
 
 from lodestone.llm import ngram_join as j
 from lodestone.llm import queries
-from lodestone.llm import textkit as tk
+
+
+def shingles(text):
+    """Word shingles, spelled out."""
+    w = words(text)
+    return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
 
 
 def brute(rows):
-    """(doc_id, n_links, least id of the component) of every row, by all pairs."""
-    sets = [frozenset(s.tolist()) for s in tk.shingle_sets([None if t is None else t.encode() for _, t in rows])]
+    """(doc_id, n_links, least id of the component) of every row, by all pairs that have a shingle in
+    common."""
+    sets = [shingles(t) for _, t in rows]
+    at = defaultdict(list)
+    for x, s in enumerate(sets):
+        for g in s:
+            at[g].append(x)
+    common = Counter((a, b) for xs in at.values() for a in xs for b in xs if b < a)
     near = defaultdict(set)
-    for a in range(len(rows)):
-        for b in range(a):
-            if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
-                near[a].add(b)
-                near[b].add(a)
+    for (a, b), n in common.items():
+        if 10 * n >= 8 * (len(sets[a]) + len(sets[b]) - n):
+            near[a].add(b)
+            near[b].add(a)
     out = []
     for a in range(len(rows)):
         seen, todo = {a}, [a]
@@ -63,6 +74,21 @@ def test_a_large_group_over_many_blocks(spark, small_blocks):
     assert got(j.links(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
 
 
+def test_buckets_of_a_chain(spark, small_blocks):
+    """Near copies of near copies: buckets differ, the component is wide, every link counts once."""
+    rnd = random.Random(5)
+    w, rows = [f"w{i}" for i in range(120)], []
+    for i in range(150):
+        w = list(w)
+        for _ in range(2):
+            w[rnd.randrange(len(w))] = f"y{i}-{rnd.random()}"
+        rows.append((i, " ".join(w)))
+    rows += [(500 + i, t) for i, t in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute(rows)
+    assert got(j.links(df)) == want and max(n for _, n, _ in want) > 4
+
+
 def test_keep_one(spark, odd, none):
     left = j.keep_one(odd)
     assert left.columns == odd.columns
