@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import ensure_workers, materialise
+from .common import ensure_workers, looked_up, materialise, unclashing
 
 RULES_VERSION = "base-1"
+#: Commits that the query deals its documents to.
+COMMITS = 3
 # The kinds in order, their patterns and least lengths (of group 2, the match, the match).
 KINDS = ("assign", "access", "hex")
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -64,11 +66,12 @@ def blob_of(text="text"):
 def unseen(paths: DataFrame, ledger: DataFrame | None, rules: str = RULES_VERSION) -> DataFrame:
     """``blob, text``: each blob of ``paths`` once that the ledger lacks under ``rules``."""
     rows = paths.select(blob_of().alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    # partial aggregation leaves one copy per task before anything is shuffled, so a text that a
+    # third of the paths hold is not a hot key; the ledger is met in the same partitions
+    rows = rows.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
         rows = rows.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
-    # partial aggregation leaves one copy per task before anything is shuffled, so a text that a
-    # third of the paths hold is not a hot key
-    return rows.groupBy("blob").agg(F.first("text").alias("text"))
+    return rows
 
 
 def update(paths: DataFrame, ledger: DataFrame | None = None, rules: str = RULES_VERSION) -> DataFrame:
@@ -79,16 +82,33 @@ def update(paths: DataFrame, ledger: DataFrame | None = None, rules: str = RULES
 
 def findings(paths: DataFrame, ledger: DataFrame, rules: str = RULES_VERSION, keep: list[str] | None = None) -> DataFrame:
     """Findings of every path from the ledger: ``keep`` columns (doc_id by default), ``blob``,
-    ``spans`` and counts. A null text is the empty blob; repeated paths each get their row; a blob
-    that the ledger lacks gets nulls."""
-    keep = keep or ["doc_id"]
+    ``spans`` and counts; kept columns of these names give way. A null text is the empty blob;
+    repeated paths each get their row; a blob that the ledger lacks gets nulls. A blob of very many
+    paths is looked up by broadcast."""
+    added = ["blob", "spans", *(f"n_{k}" for k in KINDS)]
+    keep = unclashing(keep or ["doc_id"], *added, "__paths")
+    at = materialise(paths.select(*keep, blob_of().alias("blob")), "paths")
     entries = ledger.where(F.col("rules") == rules).drop("rules")
     hits = entries.groupBy("blob").agg(F.first("spans").alias("spans"), *[F.first(f"n_{k}").alias(f"n_{k}") for k in KINDS])
-    return paths.select(*keep, blob_of().alias("blob")).join(hits, "blob", "left")
-
-
-def report(docs: DataFrame) -> DataFrame:
-    """Scan all of ``docs`` against a new ledger; one row per document."""
-    found = findings(docs, update(docs))
+    held = at.groupBy("blob").agg(F.count("*").alias("__paths"))
+    found = looked_up(at, held.join(hits, "blob", "left"), ["blob"], "__paths", at.count())
+    return found.select(*keep, *added)
+
+
+def committed(paths: DataFrame, commits: int) -> list[DataFrame]:
+    """A history: the paths in the order in which they came, a hash of their id deciding."""
+    turn = F.pmod(F.xxhash64("doc_id"), F.lit(commits))
+    return [paths.where(turn == c) for c in range(commits)]
+
+
+def report(docs: DataFrame, commits: int = COMMITS) -> DataFrame:
+    """One row per document. ``docs`` come in ``commits`` one after the other; each is scanned against
+    the ledger that those before it left, so a blob of several commits is scanned in the first
+    alone. The result is that of one scan of all."""
+    ledger = None
+    for part in committed(docs, commits):
+        new = update(part, ledger)
+        ledger = new if ledger is None else ledger.union(new)
+    found = findings(docs, ledger)
     spans = F.coalesce("spans", F.lit(""))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(spans, 256).alias("base_sha256"), spans.alias("spans"))

@@ -52,6 +52,25 @@ def test_ledger_scans_only_unseen(spark, odd):
     assert secret_scan.unseen(odd, first, rules="other").count() == odd.selectExpr("coalesce(text, '') as t").distinct().count()
 
 
+def test_commits_scan_each_blob_once(spark, odd, monkeypatch):
+    ledgers = []
+    kept = secret_scan.update
+    monkeypatch.setattr(secret_scan, "update", lambda *a: ledgers.append(kept(*a)) or ledgers[-1])
+    for commits in (1, 4):
+        ledgers.clear()
+        got = sorted(((r.doc_id, r.spans) for r in secret_scan.report(odd, commits).collect()), key=str)
+        assert got == sorted(((r.doc_id, plain_scan(r.text)) for r in odd.collect()), key=str)
+        blobs = [r.blob for x in ledgers for r in x.collect()]
+        assert len(ledgers) == commits and len(blobs) == len(set(blobs)) == odd.selectExpr("coalesce(text, '')").distinct().count()
+
+
+def test_findings_names_and_hot_blobs(spark, odd):
+    more = odd.selectExpr("*", "'mine' as spans", "1 as BLOB").unionByName(spark.range(600).selectExpr("id as doc_id", "'token = abcdefghij' as text"), allowMissingColumns=True)
+    got = secret_scan.findings(more, secret_scan.update(more), keep=["doc_id", "lang", "spans", "BLOB"])
+    assert got.columns == ["doc_id", "lang", "blob", "spans", "n_assign", "n_access", "n_hex"]
+    assert got.count() == more.count() and got.where("spans = 'assign:0:18' and n_assign = 1").count() == 600
+
+
 # -- BPE
 
 
