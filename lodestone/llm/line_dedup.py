@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, packed, unpacked
+from .common import discard, looked_up, materialise, packed, unpacked
 
 MIN_LENGTH, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 4, 2
@@ -46,6 +46,12 @@ class Runs:
         runs = [r for level in self.levels for r in level]
         return reduce(DataFrame.union, runs) if runs else None
 
+    def discard(self) -> None:
+        for level in self.levels:
+            for run in level:
+                discard(run)
+        self.levels = []
+
     def add(self, batch: DataFrame) -> None:
         """``batch(k1, k2, doc)``: distinct keys of documents that no earlier batch had."""
         own = batch.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
@@ -97,6 +103,7 @@ def dropped_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int =
     # batches of equal row counts by id, from quantiles of the ids
     cuts = rows.where("pos = 0").approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01)
     bounds = sorted({int(c) for c in cuts}, reverse=True)
+    n_long = long.count()
     runs = Runs()
     upper = None
     for lower in [*bounds, None]:
@@ -104,28 +111,34 @@ def dropped_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int =
         part = part if upper is None else part.where(F.col("doc") <= upper)
         runs.add(part.select("k1", "k2", "doc").distinct())
         upper = lower
-    common = merged(runs.all()).where(F.col("n") >= min_docs).select("k1", "k2", "last")
-    hits = long.join(common, ["k1", "k2"]).where("doc < last").select("doc", "t1", "t2", "pos")
+    common = merged(runs.all()).where(F.col("n") >= min_docs).select("k1", "k2", "last", "n")
+    # a line of very many documents is looked up by broadcast; n is the number of its documents
+    hits = looked_up(long, common, ["k1", "k2"], "n", n_long).where("doc < last").select("doc", "t1", "t2", "pos")
     # flags of every line of the texts concerned, in order
-    flags = hits.groupBy("doc", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
-    return materialise(flags, "flags")
+    flags = materialise(hits.groupBy("doc", "t1", "t2").agg(F.collect_set("pos").alias("gone")), "flags")
+    runs.discard()
+    discard(rows)
+    return flags
 
 
 def dedup(docs: DataFrame, **limits: int) -> DataFrame:
-    """``docs`` with ``n_lines``, ``n_dropped`` and the text that is left in ``kept``.
+    """``docs`` with ``n_lines``, ``n_dropped`` and the text that is left in ``kept``; columns of these
+    names give way, no other name clashes.
 
     A line's key is the line stripped and with A-Z lower-cased; keys of at least ``min_length`` code
     points found in ``min_docs`` documents or more lose their lines except in the document of
     largest id. A null or empty text is one empty line. Rows of one id are one document; rows with a
     null id count as one document below all others. A text that loses every line becomes empty.
     """
-    gone = dropped_lines(docs, **limits)
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept")]
+    gone = dropped_lines(docs.select("doc_id", "text"), **limits)
     t1, t2 = _row_hash()
-    left = docs.withColumns({"__doc": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("bigint"), "__t1": t1, "__t2": t2})
-    out = left.join(gone, (left["__doc"] == gone["doc"]) & (left["__t1"] == gone["t1"]) & (left["__t2"] == gone["t2"]), "left").drop("doc", "t1", "t2", "__doc", "__t1", "__t2")
+    left = packed(docs.select(*names), "doc_id", "text").withColumns({"__doc": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("bigint"), "__t1": t1, "__t2": t2})
+    out = left.join(gone, (left["__doc"] == gone["doc"]) & (left["__t1"] == gone["t1"]) & (left["__t2"] == gone["t2"]), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
-    return out.select(*docs.columns, F.size(lines).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"), F.when(F.col("gone").isNull(), text).otherwise(kept_lines(lines, F.col("gone"))).alias("kept"))
+    own = [F.size(lines).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"), F.when(F.col("gone").isNull(), text).otherwise(kept_lines(lines, F.col("gone"))).alias("kept")]
+    return out.select(*[(F.col(c) if c in ("doc_id", "text") else F.col("__rest").getField(c)).alias(c) for c in names], *own)
 
 
 def kept_lines(lines: Column, gone: Column) -> Column:
@@ -145,5 +158,6 @@ def report(docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines gone from the text, and ``n_chars`` brought up to date."""
     out = dedup(packed(docs, "doc_id", "text"))
+    # the struct of other columns is packed once more inside, and comes back as it was
     new = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return unpacked(out, docs.columns, "doc_id", "text", **new)

@@ -85,6 +85,18 @@ def test_line_dedup_odd_rows(spark, odd, none):
     assert left.where("n_chars <> length(text)").count() == 0
 
 
+def test_line_dedup_clashing_names_and_a_hot_line(spark, odd):
+    long = "a line that is long enough to count"
+    extra = odd.selectExpr("*", "'d' as doc", "1 as t1", "2 as T2", "3 as N_lines", "4 as gone")
+    more = extra.unionByName(spark.range(100, 700).selectExpr("id as doc_id", f"'{long}\nown ' || id as text"), allowMissingColumns=True)
+    out = line_dedup.dedup(more)
+    assert out.columns == [*[c for c in more.columns if c not in ("kept", "N_lines")], "n_lines", "n_dropped", "kept"]
+    assert out.where("doc_id between 100 and 699 and n_dropped = 1 and kept like 'own%'").count() == 599
+    rows = [(r.doc_id, r.text) for r in more.collect()]
+    got = [(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept.encode()).hexdigest()) for r in out.collect()]
+    assert sorted(got, key=str) == brute_lines(rows) and out.where("doc = 'd' and t1 = 1 and T2 = 2 and gone = 4").count() == odd.count()
+
+
 def test_line_dedup_is_native(spark):
     df = queries.op8_line_dedup(spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
