@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import ensure_workers
+from .common import ensure_workers, unclashing
 
 MEMORY_WORDS = 600_000
 BATCH_CHARS = 1 << 20
@@ -154,7 +154,7 @@ class WordBpe:
 
     def _segments(self, text: str) -> list[str | list[str]]:
         """A text cut at special tokens: a string is one of these, a list holds words."""
-        if self.stops is None or "<|" not in text:
+        if self.stops is None or not any(s in text for s in self.special):
             return [self.words(text)]
         out: list[str | list[str]] = []
         at = 0
@@ -212,7 +212,8 @@ def load(path: str) -> WordBpe:
 
 
 def encode(docs: DataFrame, path: str, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Add ``ids`` (little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` to ``docs``.
+    """Add ``ids`` (little-endian unsigned 32-bit), ``n_tokens`` and ``decoded`` to ``docs``; columns
+    of these names give way.
 
     ``path``: the vocabulary's file, present on every worker. A null text is an empty one, which has
     no ids and decodes to ''. Special tokens spelled in a text become their ids."""
@@ -230,8 +231,8 @@ def report(docs: DataFrame, path: str) -> DataFrame:
 
 def _mapped(docs: DataFrame, path: str, keep: list[str] | None, text: str, added: str, shape) -> DataFrame:
     ensure_workers(docs.sparkSession)
-    keep = list(keep or docs.columns)
     new = T._parse_datatype_string(added).fields
+    keep = unclashing(keep or docs.columns, *(f.name for f in new))
     schema = T.StructType([*docs.select(*keep).schema.fields, *new])
     kinds = {"binary": pa.binary(), "bigint": pa.int64(), "string": pa.string()}
 
@@ -239,19 +240,21 @@ def _mapped(docs: DataFrame, path: str, keep: list[str] | None, text: str, added
         bpe = load(path)
         bpe.forget()  # what another task remembers may be large
         gc.disable()  # nothing here is cyclic, and long lists of words are slow to trace
-        for b in batches:
-            texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            rows: list[tuple] = []
-            lo = size = 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > BATCH_CHARS or i == len(texts) - 1:
-                    rows += map(shape, bpe.encode_batch(texts[lo : i + 1]))
-                    lo, size = i + 1, 0
-            cols = {f.name: pa.array([r[k] for r in rows], kinds[f.dataType.simpleString()]) for k, f in enumerate(new)}
-            out = {k: b.column(b.schema.get_field_index(k)) for k in keep} | cols
-            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
-        bpe.forget()
-        gc.enable()
+        try:
+            for b in batches:
+                texts = [t or "" for t in b.column(b.schema.get_field_index(text)).to_pylist()]
+                rows: list[tuple] = []
+                lo = size = 0
+                for i, t in enumerate(texts):
+                    size += len(t)
+                    if size > BATCH_CHARS or i == len(texts) - 1:
+                        rows += map(shape, bpe.encode_batch(texts[lo : i + 1]))
+                        lo, size = i + 1, 0
+                cols = {f.name: pa.array([r[k] for r in rows], kinds[f.dataType.simpleString()]) for k, f in enumerate(new)}
+                out = {k: b.column(b.schema.get_field_index(k)) for k in keep} | cols
+                yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
+        finally:
+            bpe.forget()
+            gc.enable()
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(tk.lean(run), schema)
