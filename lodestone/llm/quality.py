@@ -2,7 +2,8 @@
 
 Trusted positives are labelled rows marked good; the unlabelled set is web text drawn without
 regard to its labels. A linear scorer minimises the non-negative unbiased risk of Kiryo et al.
-(2017), ``pi * R_p(+1) + max(0, R_u(-1) - pi * R_p(-1))``, under an estimated class prior ``pi``.
+(2017), ``pi * R_p(+1) + max(0, R_u(-1) - pi * R_p(-1))``, under a class prior ``pi`` estimated from
+positives against unlabelled texts by the best bin of Garg et al. (2021). Bad marks are not used.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import ensure_workers
+from .common import ensure_workers, unclashing
 
 #: Rows of each kind that the classifier is fitted on at most; the one bound on a sample here.
 MAX_FIT_ROWS = 4096
@@ -118,60 +119,74 @@ def nn_pu_fit(pos: np.ndarray, unl: np.ndarray, prior: float, epochs: int = 60,
     return Scorer(mean, scale, theta[:-1], float(theta[-1]))
 
 
-def _sample(df: DataFrame, n: int, limit: int, salt: int) -> DataFrame:
-    """About ``limit`` of ``n`` rows by a hash of their id; ``limit`` at most."""
-    share = min(1.0, 1.1 * limit / max(n, 1))
-    return (df if share >= 1 else df.where(F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))).limit(limit)
+def estimated_prior(pos: np.ndarray, unl: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled rows.
 
+    A scorer of positives against unlabelled is fitted on one half of each; on the other half, the
+    share of unlabelled rows above a threshold over that of positives bounds the prior from above,
+    and is least where only positives are. The threshold is that of the least upper confidence
+    bound of this ratio."""
+    if min(len(pos), len(unl)) < 4:
+        return 0.5
+    g = nn_pu_fit(pos[::2], unl[::2], 0.5, epochs=15)
+    p, u = np.sort(g.score(pos[1::2])), np.sort(g.score(unl[1::2]))
+    cut = np.unique(np.concatenate([p, u]))
+    above = lambda x: (len(x) - np.searchsorted(x, cut)) / len(x)
+    qp, qu = above(p), above(u)
+    slack = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(len(p)) + 1 / np.sqrt(len(u)))
+    at = int(np.argmin((qu + slack) / np.maximum(qp, 1e-9) + (qp < 0.01) * 1e9))
+    return float(min(qu[at] / max(qp[at], 1e-9), 1.0))
+
+
+def _matrix(df: DataFrame, limit: int, salt: int) -> np.ndarray:
+    """Features of at most ``limit`` rows, those of least hash: the same ones, in the same order,
+    however the table is dealt out."""
 
-def _matrix(df: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = features(tk.column_bytes(b, "text"))
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], names=["x"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("h")), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "x"])
 
-    rows = df.select("text").mapInArrow(tk.lean(run), "x binary").collect()
+    rows = df.select(F.xxhash64(F.lit(salt + 1), "doc_id", "text").alias("h"), "text").mapInArrow(tk.lean(run), "h bigint, x binary").orderBy("h", "x").limit(limit).collect()
     return np.array([np.frombuffer(r.x, np.float32) for r in rows]).reshape(len(rows), DIMS)
 
 
+def _drawn(n: int, limit: int, salt: int):
+    """Condition on a row, by its hash, that about a fifth more than ``limit`` of ``n`` rows meet."""
+    return F.pmod(F.xxhash64(F.lit(salt), "doc_id"), F.lit(1 << 30)) < int(min(1.0, 1.2 * limit / max(n, 1)) * (1 << 30))
+
+
 def held_out(mod: int, rest: int):
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)) == rest, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable=None, max_rows: int = MAX_FIT_ROWS) -> Scorer | None:
-    """Fit on ``labels(doc_id, quality)`` of the rows that ``usable`` (a condition on doc_id) admits.
+    """Fit on the rows that ``labels(doc_id, quality)`` marks good against all rows, of those that
+    ``usable`` (a condition on doc_id) admits; at most ``max_rows`` of either, drawn by a hash.
 
-    The class prior is the mean mark of the usable labelled rows; where they have no bad mark it is
-    the Elkan-Noto estimate, the mean of a positive-against-unlabelled scorer on unlabelled rows
-    over its mean on positives. Conflicting marks of one id: the worst counts. Null ids, marks and
-    texts are not learned from. None if there is no positive.
-    """
+    Conflicting marks of one id: the worst counts. Null ids, marks and texts are not learned from.
+    None if there is no positive."""
     ensure_workers(docs.sparkSession)
     usable = F.lit(True) if usable is None else usable
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).where(usable).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    count = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("quality") == 1).cast("long")), F.lit(0)).alias("p")).first()
+    good = marks.where("quality = 1").select("doc_id")
     web = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).where(usable).select("doc_id", "text")
-    total = web.select("doc_id").count()
-    if not count.p or not total:
+    known, total = good.count(), web.select("doc_id").count()
+    if not known or not total:
         return None
-    good = marks.where("quality = 1").select("doc_id")
-    share = min(1.0, 1.2 * max_rows / count.p)
-    drawn = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    pos = _matrix((web.join(good, "doc_id", "left_semi") if share >= 1 else web.where(drawn).join(good.where(drawn), "doc_id", "left_semi")).limit(max_rows))
-    unl = _matrix(_sample(web, total, max_rows, 23))
-    if not len(pos):
+    drawn = _drawn(known, max_rows, 11)
+    pos = _matrix(web.where(drawn).join(good.where(drawn), "doc_id", "left_semi"), max_rows, 11)
+    unl = _matrix(web.where(_drawn(total, max_rows, 23)), max_rows, 23)
+    if not len(pos) or not len(unl):
         return None
-    prior = count.p / count.n
-    if count.p == count.n:
-        g = nn_pu_fit(pos, unl, 0.5, epochs=15)
-        prior = float(np.clip(g.score(unl).mean() / max(g.score(pos).mean(), 1e-6), 0.05, 0.98))
-    return nn_pu_fit(pos, unl, prior)
+    return nn_pu_fit(pos, unl, estimated_prior(pos, unl))
 
 
 def apply(docs: DataFrame, model: Scorer | None, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Add ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5). A null text scores as an empty
-    one; without a model every score is 0.5. The score depends on the text alone."""
-    keep = list(keep or docs.columns)
+    """Add ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5); columns of these names give way.
+    A null text scores as an empty one; without a model every score is 0.5. The score depends on
+    the text alone. A text is held whole, at some forty bytes of memory for each of its own."""
+    keep = unclashing(keep or docs.columns, "score", "predicted")
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
