@@ -12,19 +12,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as tk
-from .common import ensure_workers, packed, unpacked
+from .common import ensure_workers, packed, unclashing, unpacked
 from .quality import held_out
 
-#: Texts of each language that the centroids are fitted on at most; the one bound on a sample here.
-MAX_FIT_TEXTS = 600
-BITS = 12
+#: Texts of each language that the centroids are fitted on at most, and of all languages together;
+#: the one bound on a sample here.
+MAX_FIT_TEXTS, MAX_FIT_TOTAL = 600, 6000
+BITS = 13
 DIMS = 1 << BITS
 CENTROIDS = 4
+#: Texts of fewer trigrams seed no centroid and set no floor.
+LONG = 50
+#: Characters that are counted at a time, so that a long text takes no more memory than a short one.
+PIECE = 1 << 18
 UNKNOWN = "und"
 _LETTER: list[np.ndarray] = []
 
@@ -39,21 +44,25 @@ def trigram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(counts per text and bin, has a letter). Letters are lower-cased, all else is a word edge."""
     out = np.zeros((len(texts), DIMS), np.float32)
     lettered = np.zeros(len(texts), bool)
-    for lo, hi in tk.slices([4 * len(t) for t in texts]):
-        low = [t.lower() for t in texts[lo:hi]]
-        code = np.frombuffer("\n\n".join(["", *low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    parts = [(i, t, lo) for i, t in enumerate(texts) for lo in range(0, len(t), PIECE)]
+    for lo, hi in tk.slices([4 * min(len(t) - at, PIECE) for _, t, at in parts]):
+        # each piece with the characters on both its sides, then an edge
+        own = [(i, t[max(at - 1, 0) : at + PIECE + 1].lower(), at) for i, t, at in parts[lo:hi]]
+        code = np.frombuffer("\n\n".join(["", *(t for _, t, _ in own), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         alpha = _letters()[code]
         sym = np.where(alpha, code, 0).astype(np.uint64)
         h = (sym[:-2] * np.uint64(0x9E3779B97F4A7C15) + sym[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + sym[2:] * np.uint64(0x165667B19E3779F9)) * np.uint64(0xD6E8FEB86659FD93)
         h = (h >> np.uint64(64 - BITS)).astype(np.int64)
         at = 2
-        for i, t in enumerate(low):
-            a, b = at - 1, at + len(t) - 1  # trigrams centred in this text
-            mid = alpha[at : at + len(t)]
+        for i, low, start in own:
+            # trigrams centred in the piece itself
+            a = at + (start > 0)
+            b = at + len(low) - (start + PIECE < len(texts[i]))
+            mid = alpha[a:b]
             if mid.any():
-                lettered[lo + i] = True
-                out[lo + i] = np.bincount(h[a:b][mid], minlength=DIMS)
-            at += len(t) + 2
+                lettered[i] = True
+                out[i] += np.bincount(h[a - 1 : b - 1][mid], minlength=DIMS)
+            at += len(low) + 2
     return out, lettered
 
 
@@ -85,13 +94,14 @@ class Centroids:
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means, seeded by farthest points so that a run is repeatable."""
-    centre = _unit(x.mean(0, keepdims=True))
+    """Spherical k-means from spread seeds (k-means++ on 1 - cosine), drawn alike in every run."""
+    rng = np.random.default_rng(k)
+    centre = x[[int(rng.integers(len(x)))]]
     while len(centre) < min(k, len(x)):
-        near = (x @ centre.T).max(1)
-        if near.min() > 1 - 1e-6:
+        far = np.maximum(1 - (x @ centre.T).max(1).astype(np.float64), 0)
+        if far.sum() < 1e-6:
             break
-        centre = np.vstack([centre, x[near.argmin()]])
+        centre = np.vstack([centre, x[rng.choice(len(x), p=far / far.sum())]])
     for _ in range(rounds):
         own = (x @ centre.T).argmax(1)
         centre = _unit(np.vstack([x[own == j].mean(0) if (own == j).any() else centre[j] for j in range(len(centre))]))
@@ -99,22 +109,25 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit_centroids(samples: dict[str, np.ndarray], k: int = CENTROIDS) -> Centroids:
-    """``samples``: counts by language. The floor of a centroid is half the least cosine but 1 % of
-    its own training texts of 50 trigrams or more: far below what a clean text of the language has."""
+    """``samples``: counts by language. Centroids are those of the long texts, where a language has
+    some. The floor of a centroid is half the least cosine but 1 % of its own long texts, far below
+    what a clean text of the language has; with fewer than 20 of these, that of the language."""
     samples = {g: x for g, x in sorted(samples.items()) if len(x)}
     if not samples:
         return Centroids(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    every = np.concatenate(list(samples.values()))
-    idf = (np.log((1 + len(every)) / (1 + (every > 0).sum(0))) + 1).astype(np.float32)
+    texts = sum(map(len, samples.values()))
+    idf = (np.log((1 + texts) / (1 + sum((x > 0).sum(0) for x in samples.values()))) + 1).astype(np.float32)
     centre, lang, floor = [], [], []
     for g, x in samples.items():
-        v = _unit(np.log1p(x) * idf)
+        long = x.sum(1) >= LONG
+        v = _unit(np.log1p(x[long] if long.any() else x) * idf)
         c = cluster(v, k)
         cos = v @ c.T
-        own, long = cos.argmax(1), x.sum(1) >= 50
+        own = cos.argmax(1)
+        least = lambda best: 0.5 * float(np.quantile(best, 0.01)) if long.any() else 0.0  # noqa: B023, E731
         for j in range(len(c)):
-            mine = cos[(own == j) & long, j]
-            floor.append(0.5 * float(np.quantile(mine, 0.01)) if len(mine) else 0.0)
+            mine = cos[own == j, j]
+            floor.append(least(mine if len(mine) >= 20 else cos.max(1)))
             lang.append(g)
         centre.append(c)
     return Centroids(idf, np.concatenate(centre).astype(np.float32), lang, np.array(floor))
@@ -127,8 +140,9 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
 def fit(docs: DataFrame, usable=None, max_texts: int = MAX_FIT_TEXTS, k: int = CENTROIDS) -> Centroids:
     """Learn from text and non-null lang of the rows that ``usable`` (a condition on doc_id) admits.
 
-    Per language, about ``max_texts`` rows are drawn by a hash of the text, which needs no order
-    and no shuffle of texts; copies of one text are drawn or left together.
+    Per language, at most ``max_texts`` lettered texts are drawn, those of least hash of id and text
+    (``MAX_FIT_TOTAL`` over all languages); which ones doesn't depend on how the table is dealt out.
+    A task keeps no more than these of its own, so no more of a language leave it.
     """
     ensure_workers(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -136,31 +150,38 @@ def fit(docs: DataFrame, usable=None, max_texts: int = MAX_FIT_TEXTS, k: int = C
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return fit_centroids({})
-    share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, int(min(1.0, max_texts / n) * (1 << 30)))])
-    drawn = known.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", F.length("text")), F.lit(1 << 30)) < share[F.col("lang")])
+    most = max(1, min(max_texts, MAX_FIT_TOTAL // len(sizes)))
+    share = F.create_map(*[F.lit(x) for g, n in sizes.items() for x in (g, int(min(1.0, 1.5 * most / n) * (1 << 30)))])
+    h = F.xxhash64(F.lit(5), "doc_id", "text")
+    drawn = known.select("lang", "text", h.alias("h")).where(F.pmod("h", F.lit(1 << 30)) < share[F.col("lang")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[int, bytes]]] = {}
         for b in batches:
-            langs, texts = b.column(b.schema.get_field_index("lang")).to_pylist(), _texts(b, "text")
-            for lo in range(0, len(texts), 256):
-                counts, lettered = trigram_counts(texts[lo : lo + 256])
-                keep = np.flatnonzero(lettered)
-                yield pa.RecordBatch.from_arrays([pa.array([langs[lo + i] for i in keep], pa.string()), pa.array([np.minimum(counts[i], 65535).astype(np.uint16).tobytes() for i in keep], pa.binary())], names=["lang", "x"])
-
+            langs, hs, texts = b.column(b.schema.get_field_index("lang")).to_pylist(), b.column(b.schema.get_field_index("h")).to_pylist(), _texts(b, "text")
+            for lo in range(0, len(texts), 128):
+                counts, lettered = trigram_counts(texts[lo : lo + 128])
+                for i in np.flatnonzero(lettered).tolist():
+                    held.setdefault(langs[lo + i], []).append((hs[lo + i], counts[i].tobytes()))
+                held = {g: sorted(x)[:most] if len(x) > most else x for g, x in held.items()}
+        rows = [(g, *x) for g, xs in held.items() for x in xs]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["lang", "h", "x"])
+
+    least = Window.partitionBy("lang").orderBy("h", "x")
+    rows = drawn.mapInArrow(tk.lean(run), "lang string, h bigint, x binary").withColumn("at", F.row_number().over(least)).where(F.col("at") <= most)
     found: dict[str, list[np.ndarray]] = {}
-    for r in drawn.select("lang", "text").mapInArrow(tk.lean(run), "lang string, x binary").collect():
-        own = found.setdefault(r.lang, [])
-        if len(own) < 2 * max_texts:
-            own.append(np.frombuffer(r.x, np.uint16).astype(np.float32))
+    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.at)):
+        found.setdefault(r.lang, []).append(np.frombuffer(r.x, np.float32))
     return fit_centroids({g: np.array(x) for g, x in found.items()}, k)
 
 
 def apply(docs: DataFrame, model: Centroids, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """Add ``lang_pred``, ``score`` (cosine to the nearest centroid) and ``rejected``.
+    """Add ``lang_pred``, ``score`` (cosine to the nearest centroid) and ``rejected``; columns of
+    these names give way.
 
     A null text, or one without a letter, is ``und``, scores 0 and is rejected; so is every text if
     nothing was learned. Ties go to the first centroid in order of language."""
-    keep = list(keep or docs.columns)
+    keep = unclashing(keep or docs.columns, "lang_pred", "score", "rejected")
     schema = T.StructType([*docs.select(*keep).schema.fields, *T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,8 +189,8 @@ def apply(docs: DataFrame, model: Centroids, keep: list[str] | None = None, text
             texts = _texts(b, text)
             langs: list[str] = []
             scores, rejects = [np.zeros(0)], [np.zeros(0, bool)]
-            for lo in range(0, len(texts), 256):
-                g, s, r = model.predict(*trigram_counts(texts[lo : lo + 256]))
+            for lo in range(0, len(texts), 128):
+                g, s, r = model.predict(*trigram_counts(texts[lo : lo + 128]))
                 langs += g
                 scores.append(s)
                 rejects.append(r)

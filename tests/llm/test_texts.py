@@ -176,6 +176,65 @@ def test_pu_risk_finds_the_classes():
     assert (s[:420] > 0.5).mean() > 0.93 and (s[420:] < 0.5).mean() > 0.9
 
 
+@pytest.mark.parametrize("share", [0.3, 0.7, 0.9])
+def test_prior_is_found_without_bad_marks(share):
+    rng = np.random.default_rng(2)
+    n = int(3000 * share)
+    pos = rng.normal(1.5, 1, (2000, 5)).astype(np.float32)
+    unl = rng.permutation(np.concatenate([rng.normal(1.5, 1, (n, 5)), rng.normal(-1.5, 1, (3000 - n, 5))]).astype(np.float32))
+    assert share - 0.08 < quality.estimated_prior(pos, unl) < share + 0.02
+
+
+def test_quality_fit_does_not_depend_on_partitions(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    one, other = (quality.fit(docs.repartition(n), labels, max_rows=60) for n in (2, 7))
+    assert np.array_equal(one.weight, other.weight) and one.bias == other.bias
+    bad = labels.selectExpr("doc_id", "if(quality = 0, null, quality) as quality")
+    assert np.array_equal(quality.fit(docs, bad, max_rows=60).weight, one.weight)  # bad marks play no part
+
+
+def test_clashing_names_give_way(spark, odd):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = odd.selectExpr("*", "1 as Predicted", "2 as REJECTED")
+    for out, added in ((quality.apply(extra, None), {"score", "predicted"}), (langid.apply(extra, langid.fit(docs)), {"lang_pred", "score", "rejected"}), (bpe.encode(extra, queries.vocabulary()), {"ids", "n_tokens", "decoded"})):
+        names = [c for c in extra.columns if c.lower() not in added]
+        assert out.columns[: len(names)] == names and set(out.columns[len(names) :]) == added and out.count() == extra.count()
+
+
+def plain_counts(text):
+    """Trigrams of letters in one pass over the whole text."""
+    codes = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
+    out = np.zeros(langid.DIMS)
+    for a, b, c in zip(codes, codes[1:], codes[2:], strict=False):
+        if b:
+            out[(a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9) * 0xD6E8FEB86659FD93 % (1 << 64) >> (64 - langid.BITS)] += 1
+    return out
+
+
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    monkeypatch.setattr(langid, "PIECE", 7)
+    texts = ["", "Ab", "one two-three, FOUR five six", "x" * 50, "été à Noël 1234567 fin", "1234567 8"]
+    counts, lettered = langid.trigram_counts(texts)
+    assert np.array_equal(counts, np.array([plain_counts(t) for t in texts])) and lettered.tolist() == [False, True, True, True, True, False]
+
+
+def test_unlike_texts_of_any_length_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF_CORRECT}/documents.parquet")
+    model = langid.fit(docs)
+    rnd = random.Random(1)
+    for n in (100, 1500, 20_000):
+        texts = [" ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n)) for _ in range(5)]
+        assert model.predict(*langid.trigram_counts(texts))[2].all()
+
+
+def test_language_fit_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, other = (langid.fit(docs.repartition(n), max_texts=20) for n in (2, 7))
+    assert np.array_equal(one.centre, other.centre) and one.lang == other.lang
+    hot = docs.unionByName(docs.where("doc_id = 0").crossJoin(spark.range(3000)).drop("id"))
+    assert langid.fit(hot, max_texts=20).centre.shape[0] <= 16
+
+
 def test_queries_are_whole(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for q in (queries.op2_quality, queries.op4_secret_scan, queries.op6_language_id):
