@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of a batch sent to a Python worker, so that long texts do not pile up in one.
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: What Spark has where nobody chose.
+DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "10000", "spark.sql.execution.arrow.maxBytesPerBatch": "67108864b"}
+
+
+def _chosen(spark: SparkSession) -> set[str]:
+    """Settings of ARROW that the session's owner made: they stand."""
+    own = {k for k in ARROW if spark.sparkContext.getConf().get(k) is not None}
+    return own | {k for k in ARROW if spark.conf.get(k) not in (ARROW[k], DEFAULTS[k], None)}
 
 
 def ensure_workers(spark: SparkSession) -> None:
@@ -21,13 +29,17 @@ def ensure_workers(spark: SparkSession) -> None:
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *paths])
     for key, value in ARROW.items():
-        spark.conf.set(key, value)
+        if key not in _chosen(spark):
+            spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own, gone at exit, only where the setting is absent (tests)."""
+    """The cluster's shared folder. Where the setting is absent, one of our own, gone at exit, if
+    driver and workers are one machine's; else an error, as other machines couldn't see it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="lodestone-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         where = "file://" + own
