@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_workers, shared_dir, table
 
-__all__ = ["components", "discard", "ensure_workers", "looked_up", "materialise", "new_path", "packed", "shared_dir", "table", "unclashing", "unpacked"]
+__all__ = ["components", "discard", "ensure_workers", "looked_up", "materialise", "new_path", "packed", "shared_dir", "sieved", "table", "unclashing", "unpacked"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -55,6 +55,28 @@ def looked_up(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str,
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
 
 
+#: Bits of a sieve at most, 8 MB in all, whatever the input; and bytes in one of its rows.
+SIEVE_BITS, SIEVE_BYTES = 1 << 26, 256
+
+
+def sieved(rows: DataFrame, wanted: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` without some whose ``key`` (a 64-bit hash) no row of ``wanted`` has: a bitmap of fixed
+    size is broadcast, so that few rows without a partner go into a shuffle. ``n``: number of wanted
+    keys; beyond a sixteenth of ``SIEVE_BITS`` more and more others pass, and a join must follow in
+    any case."""
+    bits = min(SIEVE_BITS, 1 << max(15, (16 * n).bit_length()))
+    place = lambda: F.pmod(F.col(key), F.lit(bits))
+    at = F.bitmap_bit_position(place() + 1)
+    maps = wanted.select(place().alias("p")).groupBy(F.bitmap_bucket_number(F.col("p") + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("p") + 1)).alias("map"))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(4096 // SIEVE_BYTES - 1)))
+    maps = maps.select("bucket", "map", chunks.alias("chunk")).select(F.col("bucket").alias("__bucket"), F.col("chunk").alias("__chunk"), F.substring("map", F.col("chunk") * SIEVE_BYTES + 1, F.lit(SIEVE_BYTES)).alias("__map"))
+    width = 8 * SIEVE_BYTES
+    asked = rows.withColumns({"__bucket": F.bitmap_bucket_number(place() + 1), "__chunk": F.floor(at / width).cast("int"), "__bit": F.pmod(at, F.lit(width)).cast("int")})
+    byte = F.conv(F.hex(F.substring("__map", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.expr("shiftright(__byte, pmod(__bit, 8)) & 1 = 1")
+    return asked.join(F.broadcast(maps), ["__bucket", "__chunk"]).withColumn("__byte", byte).where(hit).select(*rows.columns)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges(a, b)``.
 

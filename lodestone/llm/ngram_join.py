@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import components, discard, ensure_workers, looked_up, materialise, packed, unpacked
+from .common import components, discard, ensure_workers, looked_up, materialise, packed, sieved, unpacked
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -36,7 +36,7 @@ HASHES = ROWS * BANDS
 TOLERANCE = 1e-9
 STEP = 20
 #: Classes and bytes of text in a block, on average; a longer text is a block's own.
-BLOCK, BLOCK_BYTES = 512, 8 << 20
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 
 _A = np.random.default_rng(8191).integers(1, 2**62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -50,11 +50,10 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint16)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    acc = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
-    for r in sig.reshape(BANDS, ROWS).T.astype(np.uint64):
-        acc = tk.mix(acc * np.uint64(0xD6E8FEB86659FD93) + r)
-    return acc.view(np.int64)
+def band_keys(sig: str = "sig"):
+    """The keys of a signature's bands, in order."""
+    width = 2 * ROWS  # bytes
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda t: F.xxhash64(t, F.substring(sig, t * width + 1, F.lit(width))))
 
 
 def class_key(s: np.ndarray) -> bytes | None:
@@ -168,16 +167,14 @@ def in_first_bucket(sig: np.ndarray, mask: np.ndarray, t: int, i: np.ndarray, j:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = tk.column_bytes(b, "text")
-        ids, n, sigs, bands = [], [], [], []
+        ids, n, sigs = [], [], []
         for lo, hi in tk.slices([len(t or b"") for t in texts]):
             for s in tk.shingle_sets(texts[lo:hi], WIDTH):
                 ids.append(class_key(s))
                 n.append(len(s))
-                sig = signature(s) if len(s) else None
-                sigs.append(None if sig is None else sig.tobytes())
-                bands.append(None if sig is None else band_keys(sig))
+                sigs.append(signature(s).tobytes() if len(s) else None)
         size = [len(t or b"") for t in texts]
-        yield tk.replace_columns(b, ["doc_id", "th1", "th2"], cid=pa.array(ids, pa.binary()), n_shingles=pa.array(n, pa.int64()), n_bytes=pa.array(size, pa.int64()), sig=pa.array(sigs, pa.binary()), bands=pa.array(bands, pa.list_(pa.int64())))
+        yield tk.replace_columns(b, ["doc_id", "th1", "th2"], cid=pa.array(ids, pa.binary()), n_shingles=pa.array(n, pa.int64()), n_bytes=pa.array(size, pa.int64()), sig=pa.array(sigs, pa.binary()))
 
 
 MEETING = ("task", "cid", "side", "alone", "band", "mask", "sig")
@@ -265,14 +262,14 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _buckets(classes: DataFrame) -> DataFrame:
     """``cid, bucket, band, mask, blocks``: the classes of every bucket that has several; a null band
     says that the bucket is a component of others."""
-    band = classes.select("node", F.posexplode("bands").alias("band", "key"))
+    band = classes.select("node", F.posexplode(band_keys()).alias("band", "key"))
     own = F.xxhash64("node")
     shared = band.groupBy("key").agg(F.min("band").alias("band"), F.min("node").alias("hub"), F.max("node").alias("far"), F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own, F.lit(1))).alias("y")).where("hub <> far")
     # buckets of equal members: the first stands for all
     kept = shared.groupBy("hub", "far", "n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.key", "hub", "n")
     kept = materialise(kept, "kept")
-    rows = kept.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    written = materialise(band, "bands")
+    n_kept, rows = kept.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    written = materialise(sieved(band, kept, "key", n_kept), "bands")
     members = materialise(looked_up(written, kept, ["key"], "n", rows), "members")
     discard(written)
     groups = materialise(components(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "groups")
@@ -315,31 +312,33 @@ def _resolved(docs: DataFrame) -> DataFrame:
     the least row (with an id, if any has one) of all that are joined with this one."""
     ensure_workers(docs.sparkSession)
     base = docs.select("doc_id", "text", *_text_hash())
-    feats = materialise(base.mapInArrow(tk.lean(_features), "doc_id bigint, th1 bigint, th2 bigint, cid binary, n_shingles bigint, n_bytes bigint, sig binary, bands array<bigint>"), "shingles")
+    feats = materialise(base.mapInArrow(tk.lean(_features), "doc_id bigint, th1 bigint, th2 bigint, cid binary, n_shingles bigint, n_bytes bigint, sig binary"), "shingles")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th1", "th2")
     # buckets work on the first half of the class key: a clash there only widens one
     half = F.conv(F.hex(F.substring("cid", 1, 8)), 16, -10).cast("bigint")
-    classes = feats.where("cid is not null").groupBy("cid").agg(F.min(row).alias("rep"), F.count("*").alias("members"), F.max("n_bytes").alias("n_bytes"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = feats.where("cid is not null").groupBy("cid").agg(F.min(row).alias("rep"), F.count("*").alias("members"), F.max("n_bytes").alias("n_bytes"), F.first("sig").alias("sig"))
     classes = materialise(classes.withColumn("node", half), "classes")
     buckets = _buckets(classes)
     signed = _by_task(_tasks(buckets.join(classes.select("cid", "sig"), "cid")))
     left = materialise(signed.mapInArrow(tk.lean(_survivors), "task bigint, cid binary, side int, alone boolean, band int, mask bigint"), "survivors")
     # texts of the classes that are left, each looked for once
     meets = left.groupBy("cid").agg(F.collect_list(F.struct("task", "side", "alone", "band", "mask")).alias("meets"))
-    chosen = classes.join(meets, "cid").select("rep.doc_id", "rep.th1", "rep.th2", "cid", "members", "sig", "meets")
+    chosen = materialise(classes.join(meets, "cid").select("rep.doc_id", "rep.th1", "rep.th2", "cid", "members", "sig", "meets"), "chosen")
+    base = sieved(base, chosen, "th1", chosen.count())
     if repeats(feats):  # equal rows would all follow their class into one task
         base = base.dropDuplicates(["doc_id", "th1", "th2"])
     rows = base.join(chosen, (base.th1 == chosen.th1) & (base.th2 == chosen.th2) & base.doc_id.eqNullSafe(chosen.doc_id)).select("cid", "members", "sig", "text", F.explode("meets").alias("meet"))
     rows = _by_task(rows.select("meet.*", "cid", "members", "sig", "text"))
     found = materialise(rows.mapInArrow(tk.lean(_linked), "cid binary, peer binary, links bigint"), "links")
     discard(left)
+    discard(chosen)
     tree = components(found.where("peer is not null").select(F.hex("cid").alias("a"), F.hex("peer").alias("b")))
     degree = found.groupBy("cid").agg(F.sum("links").alias("links"))
     per_class = classes.select("cid", "rep", "members").join(degree, "cid", "left").join(tree, F.hex("cid") == F.col("node"), "left")
     least = per_class.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     per_class = per_class.join(least, "component", "left").select("cid", (F.col("members") - 1).alias("copies"), F.coalesce("least", "rep").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
     none = F.lit(0).cast("bigint")
-    out = feats.drop("bands").join(per_class, "cid", "left")
+    out = feats.drop("sig").join(per_class, "cid", "left")
     return out.select("doc_id", "th1", "th2", "n_shingles", F.coalesce("copies", none).alias("copies"), (F.coalesce("copies", none) + F.coalesce("links", none)).alias("n_links"), F.coalesce("first", row).alias("first"))
 
 

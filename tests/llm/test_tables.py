@@ -8,7 +8,9 @@ import numpy as np
 import pytest
 from helpers import SF, SF_CORRECT, canonical
 
-from lodestone.llm import ann, chat, line_dedup, queries, sharding
+from pyspark.sql import functions as F
+
+from lodestone.llm import ann, chat, common, line_dedup, queries, sharding
 from lodestone.llm.common import components
 
 
@@ -286,6 +288,23 @@ def test_int8_bound_holds():
 # -- common
 
 
+def test_sieve_lets_all_wanted_rows_pass(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("id", "xxhash64(id) as h")
+    wanted = rows.where("id % 50 = 0")
+    some = common.sieved(rows, wanted, "h", 400)
+    assert some.columns == ["id", "h"] and some.where("id % 50 = 0").count() == 400 and some.count() < 400 + 20_000 / 8
+    monkeypatch.setattr(common, "SIEVE_BITS", 1 << 15)  # too small for as many: all may pass, none is lost
+    assert common.sieved(rows, rows, "h", 20_000).count() == 20_000
+    assert common.sieved(rows, wanted.where("false"), "h", 0).count() == 0
+
+
+def test_hot_keys_are_joined_too(spark):
+    rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 7, id) as k", "id as v")
+    look = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    got = common.looked_up(rows, look, ["k"], "n", 5000)
+    assert sorted(map(tuple, got.select("id", "m").collect())) == sorted(map(tuple, rows.join(look, "k").select("id", "m").collect())) and got.count() == 5000
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 101), (102, 101), (103, 100), (7, 7), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
