@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import DEFAULTS, Settings
 from ..functions import split as sp
@@ -18,17 +20,23 @@ CHUNK = "chunk_index int, total int, section string, kind string, name string, e
 
 
 def _flat_map(df: DataFrame, keys: list[str], schema: str, fn) -> DataFrame:
-    """Rows that ``fn(row) -> list of tuples`` gives for each row, below its keys."""
+    """Rows that ``fn(row) -> list of tuples`` gives for each row, below its keys, which pass as they
+    are, null or not."""
     ensure_workers(df.sparkSession)
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    names = [c.split(" ")[0] for c in schema.split(", ")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = [(*[row[k] for k in keys], *t) for row in pdf.to_dict("records") for t in fn(row)]
-            yield pd.DataFrame(out, columns=[*keys, *names])
-
-    return df.mapInPandas(run, f"{head}, {schema}")
+    fields = T._parse_datatype_string(schema).fields
+    arrow = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.schema.names
+            found = [fn(dict(zip(names, row, strict=True))) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+            at = pa.array([i for i, rows in enumerate(found) for _ in rows], pa.int64())
+            flat = [t for rows in found for t in rows]
+            cols = [b.column(names.index(k)).take(at) for k in keys]
+            cols += [pa.array([t[i] for t in flat], kind) for i, kind in enumerate(arrow)]
+            yield pa.RecordBatch.from_arrays(cols, names=[*keys, *(f.name for f in fields)])
+
+    return df.mapInArrow(run, T.StructType([*df.select(*keys).schema.fields, *fields]))
 
 
 def prose_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings = DEFAULTS) -> DataFrame:

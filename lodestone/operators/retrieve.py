@@ -38,11 +38,11 @@ def lexical_scores(candidates: DataFrame, queries: DataFrame, docs: DataFrame) -
     Only candidates meet their text: ids are joined first, texts last."""
     from .keyword import tokens
 
-    terms = queries.select("query_id", "terms")
-    text = docs.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("held"))
+    pairs = candidates.select("query_id", "doc_id").join(queries.select("query_id", "terms"), "query_id")
+    found = docs.select("doc_id", "text").join(candidates.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = found.select("doc_id", F.array_distinct(tokens(F.col("text"))).alias("held"))
     share = F.size(F.array_intersect("terms", "held")) / F.nullif(F.size("terms"), F.lit(0))
-    pairs = candidates.select("query_id", "doc_id").join(terms, "query_id")
-    return text.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").join(pairs, "doc_id").select("query_id", "doc_id", F.coalesce(F.round(share, 6), F.lit(0.0)).alias("score"))
+    return held.join(pairs, "doc_id").select("query_id", "doc_id", F.coalesce(F.round(share, 6), F.lit(0.0)).alias("score"))
 
 
 def neighbours(hits: DataFrame, chunks: DataFrame, window: int) -> DataFrame:

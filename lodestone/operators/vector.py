@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_workers
+from .meet import met
 
 QUERY_BLOCK_BYTES = 8 << 20
+ROW_BLOCK_BYTES = 128 << 20
 TILE_ROWS = 4096
+#: Distances that agree to so many digits are ties; more is the noise of doubles.
+DIGITS = 12
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -32,65 +34,70 @@ def rounded(x: Column, digits: int = 6) -> Column:
 def topk_one(chunks: DataFrame, query: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``key, distance`` of the ``k`` chunks nearest to a one-row ``query(vector)``; nulls last, ties by key."""
     q = F.broadcast(query.select(F.col(vector).alias("__q")).limit(1))  # one row
-    d = chunks.crossJoin(q).select(key, rounded(cosine_distance(F.col(vector), F.col("__q"))).alias("distance"))
-    return d.orderBy(F.col("distance").asc_nulls_last(), key).limit(k)
-
-
-def _tiles(block: list[tuple[int, bytes, int | None]], k: int, scoped: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid = np.array([i for i, _, _ in block], np.int64)
-        conv = np.array([-1 if c is None else c for _, _, c in block])
-        q = np.array([np.frombuffer(v, np.float64) for _, v, _ in block])
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        ids, dist = np.zeros((len(qid), 0), np.int64), np.zeros((len(qid), 0))
-        for b in batches:
-            rows, keys = b.column(1), b.column(0).to_numpy(zero_copy_only=False)
-            ok = [i for i in range(b.num_rows) if rows[i].is_valid and len(rows[i]) == q.shape[1]]
-            for lo in range(0, len(ok), TILE_ROWS):
-                part = ok[lo : lo + TILE_ROWS]
-                x = np.array([rows[i].values.to_numpy(zero_copy_only=False) for i in part], np.float64)
+    d = chunks.crossJoin(q).select(key, rounded(cosine_distance(F.col(vector), F.col("__q")), DIGITS).alias("distance"))
+    return d.orderBy(F.col("distance").asc_nulls_last(), key).limit(k).select(key, rounded(F.col("distance")).alias("distance"))
+
+
+class Nearest:
+    """Queries of one block (query, vector, conv), all of one width, and the k nearest keys of each."""
+
+    def __init__(self, queries: pa.Table, k: int, scoped: bool):
+        rows = [(i, np.array(v, np.float64), c) for i, v, c in zip(*(queries.column(n).to_pylist() for n in ("query", "vector", "conv")), strict=True)]
+        self.k, self.scoped = k, scoped
+        self.by: dict[int, tuple] = {}
+        for width in {len(v) for _, v, _ in rows}:
+            own = [r for r in rows if len(r[1]) == width]
+            q = np.array([v for _, v, _ in own])
+            conv = np.array([-1 if c is None else c for _, _, c in own])
+            self.by[width] = [np.array([i for i, _, _ in own], np.int64), q / np.linalg.norm(q, axis=1, keepdims=True), conv, np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))]
+
+    def meet(self, b: pa.RecordBatch) -> None:
+        col = lambda n: b.column(b.schema.get_field_index(n))
+        vectors, keys = col("vector"), col("key").to_numpy(zero_copy_only=False).astype(np.int64)
+        size = np.where(vectors.is_valid().to_numpy(False), pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False), 0)
+        if self.scoped:
+            kind, own = np.array(col("kind").to_pylist(), object), np.array(col("own").to_pylist(), object)
+        for width, state in self.by.items():
+            qid, q, conv, ids, dist = state
+            at = np.flatnonzero(size == width)
+            for lo in range(0, len(at), TILE_ROWS):
+                part = at[lo : lo + TILE_ROWS]
+                x = vectors.take(pa.array(part)).flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
                 n = np.linalg.norm(x, axis=1)
-                x, key = x[n > 0] / n[n > 0, None], keys[part][n > 0].astype(np.int64)
-                near = np.round(1 - q @ x.T, 6)
-                if scoped:
-                    kind, own = (np.array([b.column(c)[i].as_py() for i in np.array(part)[n > 0].tolist()], object) for c in (2, 3))
-                    near[~((kind == "corpus")[None, :] | ((kind == "attachment")[None, :] & (own[None, :] == conv[:, None])))] = np.inf
-                ids = np.concatenate([ids, np.broadcast_to(key, (len(qid), len(key)))], axis=1)
+                ok = (n > 0) & np.isfinite(n)
+                x, part = x[ok] / n[ok, None], part[ok]
+                near = np.round(1 - q @ x.T, DIGITS)
+                if self.scoped:
+                    near[~((kind[part] == "corpus")[None, :] | ((kind[part] == "attachment")[None, :] & (own[part][None, :] == conv[:, None])))] = np.inf
+                ids = np.concatenate([ids, np.broadcast_to(keys[part], near.shape)], axis=1)
                 dist = np.concatenate([dist, near], axis=1)
-                order = np.lexsort((ids, dist), axis=1)[:, :k]
+                order = np.lexsort((ids, dist), axis=1)[:, : self.k]
                 ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
-        i, j = np.nonzero(np.isfinite(dist))
-        yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[i, j]), pa.array(dist[i, j] + 0.0)], names=["query_id", "key", "distance"])
+            state[3:] = ids, dist
 
-    return run
+    def found(self) -> pa.RecordBatch:
+        parts = [(qid[i], ids[i, j], dist[i, j] + 0.0) for qid, _, _, ids, dist in self.by.values() for i, j in [np.nonzero(np.isfinite(dist))]]
+        cols = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, np.float64))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "key", "distance"])
 
 
-def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``query_id, key, distance, rank``: the ``k`` nearest chunks of every query.
+def topk_batch(chunks: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", query_key: str = "vec_id", vector: str = "embedding", block_bytes: int = QUERY_BLOCK_BYTES, row_bytes: int = ROW_BLOCK_BYTES) -> DataFrame:
+    """``query_id, key, distance, rank``: the ``k`` nearest chunks of every query, ranked by distances
+    of ``DIGITS`` digits; six are shown.
 
-    Queries come in blocks of bounded bytes; each partition of chunks multiplies with a block and
-    keeps its own ``k`` per query, a window keeps the best of these. Null and zero vectors take no
-    part. Where ``chunks`` has scope_type and scope_conv and ``queries`` has q_conv, a query sees the
+    Blocks of queries meet blocks of chunks (see :mod:`.meet`), each keeps its own ``k`` per query, a
+    window keeps the best of these. Null and zero vectors take no part; vectors meet those of their
+    width. Where ``chunks`` has scope_type and scope_conv and ``queries`` has q_conv, a query sees the
     corpus and its own conversation's attachments.
     """
-    ensure_workers(chunks.sparkSession)
     scoped = "scope_type" in chunks.columns
-    extra = ["scope_type", "scope_conv"] if scoped else []
-    blocks: list[list[tuple[int, bytes, int | None]]] = [[]]
-    held = 0
-    conv = (F.col("q_conv") if scoped else F.lit(None)).cast("bigint").alias("c")
-    for r in queries.where(F.col(vector).isNotNull()).select(F.col(query_key).alias("i"), F.transform(vector, lambda x: x.cast("double")).alias("v"), conv).toLocalIterator():
-        x = np.array(r.v, np.float64)
-        if not np.linalg.norm(x) > 0:
-            continue
-        if blocks[-1] and held + x.nbytes > QUERY_BLOCK_BYTES:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((r.i, x.tobytes(), r.c))
-        held += x.nbytes
-    out = None
-    for block in blocks:
-        part = chunks.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias(key), vector, *extra).mapInArrow(_tiles(block, k, scoped), "query_id bigint, key bigint, distance double") if block else chunks.sparkSession.createDataFrame([], "query_id bigint, key bigint, distance double")
-        out = part if out is None else out.union(part)
+    conv = (F.col("q_conv") if scoped else F.lit(None)).cast("bigint").alias("conv")
+    v = F.transform(vector, lambda x: x.cast("double"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_key).cast("bigint").alias("query"), v.alias("vector"), conv).where(F.coalesce(_dot(F.col("vector"), F.col("vector")) > 0, F.lit(False)))
+    bytes_of = F.size("vector").cast("bigint") * 8
+    size = asked.agg(F.coalesce(F.sum(bytes_of), F.lit(0))).first()[0]
+    scope = [F.col("scope_type").alias("kind"), F.col("scope_conv").cast("bigint").alias("own")] if scoped else []
+    rows = chunks.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("vector"), *scope)
+    out = met(asked, rows, lambda q: Nearest(q, k, scoped), "query_id bigint, key bigint, distance double", -(-size // block_bytes), bytes_of, row_bytes)
     w = Window.partitionBy("query_id").orderBy("distance", "key")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("distance", rounded(F.col("distance")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +11,10 @@ from ..config import DEFAULTS, Settings
 from ..functions.context import answer_prompt
 from ..operators import chat, keyword, models, retrieve, vector
 from ..operators.context import context_blocks
+from ..session import materialise
 
 
-def answers(questions: DataFrame, chunks: DataFrame, messages: DataFrame, generator: models.Generator, reranker: models.Reranker = models.overlap_reranker, inline: DataFrame | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def answers(questions: DataFrame, chunks: DataFrame, messages: DataFrame, generator: models.Generator, reranker: models.Reranker = models.overlap_reranker, inline: DataFrame | None = None, settings: Settings = DEFAULTS, embedder: Callable[[], models.Embedder] | None = None) -> DataFrame:
     """``query_id, rewritten, context, prompt, answer, sources`` for ``questions(query_id, question,
     conv_id, embedding)``.
 
@@ -19,11 +22,19 @@ def answers(questions: DataFrame, chunks: DataFrame, messages: DataFrame, genera
     goes into the prompt. ``chunks(doc_id, chunk_index, title, section, total, content, embedding,
     source_type, conversation_id)``; texts are joined to the few candidates that both retrievers left.
     ``inline(conv_id, filename, text)``: attachments that go into the context in full.
+    ``embedder``: where given, vectors are searched by the embedding of the rewritten text, in place
+    of that of the question. ``settings.neighbor_window`` chunks to either side of a hit join it, in
+    the context and among the sources.
+
+    Questions are rewritten once and written, as are the candidates: no branch calls a model again.
     """
     history = chat.history_blocks(messages).select("conv_id", "history")
     asked = questions.join(history, "conv_id", "left").withColumn("history", F.coalesce("history", F.lit("")))
     rewritten = F.when(F.col("history") == "", F.col("question")).otherwise(F.trim(models.generated(F.coalesce(models.rewrite_prompts(F.col("history"), F.col("question")), F.lit("")), generator)))
     asked = asked.withColumn("rewritten", rewritten)
+    if embedder is not None:
+        asked = models.embedded(asked.drop("embedding"), "rewritten", embedder)
+    asked = materialise(asked, "asked")
 
     place = F.xxhash64("doc_id", "chunk_index")
     scope = [F.col("source_type").alias("scope_type"), F.col("conversation_id").cast("bigint").alias("scope_conv")]
@@ -38,6 +49,12 @@ def answers(questions: DataFrame, chunks: DataFrame, messages: DataFrame, genera
     found = found.withColumn("score", models.rerank_score(F.col("rewritten"), F.col("content"), reranker))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "pool_pos")
     top = found.withColumn("relevance", F.row_number().over(best)).where(F.col("relevance") <= settings.top_k)
+    top = materialise(top.select("query_id", "doc_id", "chunk_index", "title", "section", "total", "content"), "top")
+    if settings.neighbor_window > 0:
+        window = settings.neighbor_window
+        places = F.explode(F.sequence(F.greatest(F.lit(0), F.col("chunk_index") - window), F.col("chunk_index") + window)).alias("chunk_index")
+        near = top.select("query_id", "doc_id", places).distinct()
+        top = near.join(chunks.select("doc_id", "chunk_index", "title", "section", "total", "content"), ["doc_id", "chunk_index"])
 
     hits = top.select("query_id", F.col("doc_id").alias("document_id"), "title", "section", (F.col("chunk_index") + 1).alias("position"), "total", "content")
     files = None if inline is None else asked.select("query_id", "conv_id").join(inline, "conv_id").select("query_id", "filename", "text")

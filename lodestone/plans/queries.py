@@ -12,7 +12,7 @@ from ..functions import headers, jsonparts
 from ..functions import tables as t
 from ..functions import structure
 from ..operators import chat, chunk, context, evaluate, keyword, models, retrieve, sync, vector
-from ..session import ensure_workers, shared_dir, table
+from ..session import ensure_workers, materialise, shared_dir, table
 from ..sources import connector
 from ..sources import files as src
 from ..streaming import sync_stream as stream
@@ -37,13 +37,13 @@ def query(sql: str | None = None):
 # -- vectors and keywords
 
 
-@query(f"WITH {r.DOCS}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT doc_id, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), q), 6) + 0.0 AS distance FROM embeddings JOIN docs ON vec_id = doc_id AND source_type = 'corpus', q ORDER BY distance, doc_id LIMIT 25")
+@query(f"WITH {r.DOCS}, q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) SELECT doc_id, round(list_cosine_distance(CAST(embedding AS DOUBLE[]), q), 6) + 0.0 AS distance FROM embeddings JOIN docs ON vec_id = doc_id AND source_type = 'corpus', q ORDER BY round(list_cosine_distance(CAST(embedding AS DOUBLE[]), q), 12), doc_id LIMIT 25")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     one = table(spark, d, "embeddings").where("vec_id = 0")
     return vector.topk_one(r.embedded_documents(spark, d).where("source_type = 'corpus'"), one, 25, key="doc_id")
 
 
-@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_distance(c.e, q.e), 6) + 0.0 AS distance FROM v q JOIN v c ON q.vec_id % 20 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p) SELECT query_id, vec_id, distance, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 25")
+@query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_distance(c.e, q.e), 12) + 0.0 AS distance FROM v q JOIN v c ON q.vec_id % 20 = 0), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(distance, 6) + 0.0 AS distance, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 25")
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     emb = table(spark, d, "embeddings")
     return vector.topk_batch(emb, emb.where("vec_id % 20 = 0"), 25).select("query_id", F.col("key").alias("vec_id"), "distance", "rank")
@@ -55,20 +55,20 @@ def keyword_terms(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conv_id", "turn", F.explode(keyword.query_terms(F.col("text"))).alias("term"))
 
 
-@query(f"WITH {r.TERMS}, {r.TOKENS}, {r.KEYWORD} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM kwr WHERE rank <= 75")
+@query(f"WITH {r.TERMS}, {r.TOKENS}, {r.KEYWORD} SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM kwr WHERE rank <= 75")
 def keyword_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return keyword.ranked(docs, r.questions(spark, d), 75, {"text": 1.0})
 
 
-@query(f"WITH {r.DOCS}, {r.TERMS}, {r.TOKENS}, kw AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE) / ln(any_value(n) + 1.0::DOUBLE), 6) AS score FROM tok JOIN terms USING (term) JOIN docs USING (doc_id) WHERE source_type = 'corpus' OR conversation_id = query_id % 17 GROUP BY query_id, doc_id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kw) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 75")
+@query(f"WITH {r.DOCS}, {r.TERMS}, {r.TOKENS}, kw AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE) / ln(any_value(n) + 1.0::DOUBLE), 12) AS score FROM tok JOIN terms USING (term) JOIN docs USING (doc_id) WHERE source_type = 'corpus' OR conversation_id = query_id % 17 GROUP BY query_id, doc_id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kw) SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 75")
 def keyword_topk_scoped(spark: SparkSession, d: str) -> DataFrame:
     docs = r.documents(spark, d).select("doc_id", "text", F.col("source_type").alias("scope_type"), F.col("conversation_id").alias("scope_conv"))
     asked = r.questions(spark, d).withColumn("q_conv", F.col("query_id") % 17)
     return keyword.ranked(docs, asked, 75, {"text": 1.0})
 
 
-@query(f"WITH {r.DOCS}, {r.TERMS}, f AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS a, regexp_extract_all(lower(source), '[a-z0-9]+') AS b, regexp_extract_all(lower(title), '[a-z0-9]+') AS c FROM docs), tk AS (SELECT doc_id, len(a) + len(b) + len(c) AS n, unnest(a) AS term, 1.0::DOUBLE AS w FROM f UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(b), 0.4::DOUBLE FROM f UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(c), 0.2::DOUBLE FROM f), kw AS (SELECT query_id, doc_id, round(sum(w) / ln(any_value(n) + 1.0::DOUBLE), 6) AS score FROM tk JOIN terms USING (term) GROUP BY query_id, doc_id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kw) SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 75")
+@query(f"WITH {r.DOCS}, {r.TERMS}, f AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS a, regexp_extract_all(lower(source), '[a-z0-9]+') AS b, regexp_extract_all(lower(title), '[a-z0-9]+') AS c FROM docs), tk AS (SELECT doc_id, len(a) + len(b) + len(c) AS n, unnest(a) AS term, 1.0::DOUBLE AS w FROM f UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(b), 0.4::DOUBLE FROM f UNION ALL SELECT doc_id, len(a) + len(b) + len(c), unnest(c), 0.2::DOUBLE FROM f), kw AS (SELECT query_id, doc_id, round(sum(w) / ln(any_value(n) + 1.0::DOUBLE), 12) AS score FROM tk JOIN terms USING (term) GROUP BY query_id, doc_id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kw) SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 75")
 def keyword_weighted(spark: SparkSession, d: str) -> DataFrame:
     w = keyword.WEIGHTS
     docs = r.documents(spark, d).select("doc_id", "text", "source", "title")
@@ -104,7 +104,7 @@ def hybrid_pool(spark: SparkSession, d: str) -> DataFrame:
 
 def _reranked(spark: SparkSession, d: str) -> DataFrame:
     asked, near, words = _lists(spark, d)
-    candidates = retrieve.pool(near, words)
+    candidates = materialise(retrieve.pool(near, words), "pool")  # retrieval runs once for all that read it
     return retrieve.rerank(candidates, retrieve.lexical_scores(candidates, asked, table(spark, d, "documents")), 5)
 
 

@@ -75,8 +75,8 @@ FILES = f"files AS (SELECT doc_id, f || '/' || n AS path, n AS name, h AS hint,
 LINES = "lines AS (SELECT doc_id, i - 1 AS chunk_index, len(l) AS total, l[i] AS content FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS l FROM documents)))"
 TERMS = "terms AS (SELECT DISTINCT item_id AS query_id, lower(t) AS term FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]+')) AS t FROM benchmark) WHERE length(t) >= 2)"
 TOKENS = "toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents), tok AS (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM toks)"
-KEYWORD = "kw AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE) / ln(any_value(n) + 1.0::DOUBLE), 6) AS score FROM tok JOIN terms USING (term) GROUP BY query_id, doc_id), kwr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kw)"
-VECTORS = "vq AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, label FROM benchmark JOIN embeddings ON item_id = vec_id), ed AS (SELECT doc_id, CAST(embedding AS DOUBLE[]) AS e, label, source_type, conversation_id FROM embeddings JOIN docs ON vec_id = doc_id), vd AS (SELECT query_id, doc_id, round(list_cosine_distance(e, q), 6) + 0.0 AS distance FROM vq, ed), vdr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM vd)"
+KEYWORD = "kw AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE) / ln(any_value(n) + 1.0::DOUBLE), 12) AS score FROM tok JOIN terms USING (term) GROUP BY query_id, doc_id), kwr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM kw)"
+VECTORS = "vq AS (SELECT item_id AS query_id, CAST(embedding AS DOUBLE[]) AS q, label FROM benchmark JOIN embeddings ON item_id = vec_id), ed AS (SELECT doc_id, CAST(embedding AS DOUBLE[]) AS e, label, source_type, conversation_id FROM embeddings JOIN docs ON vec_id = doc_id), vd AS (SELECT query_id, doc_id, round(list_cosine_distance(e, q), 12) + 0.0 AS distance FROM vq, ed), vdr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM vd)"
 POOL = "both_ AS (SELECT query_id, doc_id, 0 AS o, rank AS r, 'vector' AS origin FROM vdr WHERE rank <= 25 UNION ALL SELECT query_id, doc_id, 1, rank, 'keyword' FROM kwr WHERE rank <= 75 AND query_id IN (SELECT query_id FROM vq)), first_ AS (SELECT query_id, doc_id, min(o * 1000 + r) AS place, arg_min(origin, o * 1000 + r) AS origin FROM both_ GROUP BY query_id, doc_id), pool AS (SELECT query_id, doc_id, origin, row_number() OVER (PARTITION BY query_id ORDER BY place) AS pool_pos FROM first_)"
 RERANK = "nt AS (SELECT query_id, count(*) AS n FROM terms GROUP BY query_id), sc AS (SELECT p.query_id, p.doc_id, p.pool_pos, round(count(h.term) / any_value(nt.n)::DOUBLE, 6) AS score FROM pool p JOIN nt USING (query_id) JOIN terms t USING (query_id) LEFT JOIN (SELECT DISTINCT doc_id, term FROM tok) h ON h.doc_id = p.doc_id AND h.term = t.term GROUP BY ALL), top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pool_pos) AS relevance_rank FROM sc) WHERE relevance_rank <= 5), reranked AS (SELECT query_id, doc_id, score, relevance_rank, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS reading_rank FROM top)"
 HYBRID = ", ".join([DOCS, TERMS, TOKENS, KEYWORD, VECTORS, POOL])

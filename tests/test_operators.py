@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone import schema
 from lodestone.functions import classify as cl
-from lodestone.operators import chat, chunk, evaluate, models, retrieve, sync, vector
+from lodestone.operators import chat, chunk, evaluate, keyword, models, retrieve, sync, vector
 from lodestone.sources import connector, files
 
 
@@ -298,6 +298,51 @@ def test_answers(spark):
     assert {s.doc_id for s in got[2].sources} == {1}
 
 
+def test_answers_expand_hits_and_embed_what_was_rewritten(spark):
+    import dataclasses
+
+    from lodestone.config import DEFAULTS
+    from lodestone.plans import answer
+
+    texts = ["alpha beta", "gamma delta", "zeta eta", "theta iota", "kappa"]
+    chunks = spark.createDataFrame([(1, i, "T", "", 5, t, None, "corpus", None) for i, t in enumerate(texts)], "doc_id bigint, chunk_index int, title string, section string, total int, content string, embedding array<float>, source_type string, conversation_id bigint")
+    chunks = models.embedded(chunks.drop("embedding"), "content", models.hashing_embedder)
+    asked = spark.createDataFrame([(1, "and that?", 9, [0.0])], "query_id bigint, question string, conv_id bigint, embedding array<double>")
+    said = spark.createDataFrame([(9, 0, "user", "tell me of theta")], "conv_id bigint, turn int, role string, text string")
+    def model(prompts):
+        return ["zeta eta" if p.startswith("Conversation history") else "done" for p in prompts]
+
+    one = dataclasses.replace(DEFAULTS, top_k=1)
+    got = answer.answers(asked, chunks, said, model, settings=one, embedder=models.hashing_embedder).first()
+    assert got.rewritten == "zeta eta" and [s.chunk_index for s in got.sources] == [2]
+    got = answer.answers(asked, chunks, said, model, settings=dataclasses.replace(one, neighbor_window=1), embedder=models.hashing_embedder).first()
+    assert [s.chunk_index for s in got.sources] == [1, 2, 3]
+    assert got.context == "From \"T\":\n" + "".join(f"  [Part {i + 1} of 5]\n  {texts[i]}\n" for i in (1, 2, 3))
+
+
+def test_chunks_keep_their_keys(spark):
+    rows = spark.createDataFrame([(2**53 + 1, "a b"), (None, "c"), (3, None)], "doc_id bigint, text string").coalesce(1)
+    assert sorted(map(str, (tuple(r) for r in chunk.prose_chunks(rows).collect()))) == sorted(map(str, [(2**53 + 1, 0, 1, "a b"), (None, 0, 1, "c")]))
+
+
+def test_ranks_go_by_more_than_is_shown(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2e-4]), (2, [1.0, 1e-4]), (3, None), (4, [0.0, 0.0]), (5, [1.0])], "vec_id bigint, embedding array<double>")
+    q = spark.createDataFrame([(9, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
+    assert [r.vec_id for r in vector.topk_one(rows, q, 2).collect()] == [2, 1]
+    assert [r.key for r in vector.topk_batch(rows, q, 2).orderBy("rank").collect()] == [2, 1]
+
+
+def test_meeting_blocks_equal_one_block(spark):
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+    q = emb.where("vec_id % 20 = 0")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(vector.topk_batch(emb, q, 7)) == rows(vector.topk_batch(emb, q, 7, block_bytes=600, row_bytes=5000))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    asked = docs.where("doc_id % 40 = 0").select(F.col("doc_id").alias("query_id"), F.slice(F.array_distinct(keyword.tokens(F.col("text"))), 1, 6).alias("terms"))
+    one = rows(keyword.ranked(docs, asked, 5, {"text": 1.0}))
+    assert one == rows(keyword.ranked(docs, asked, 5, {"text": 1.0}, block_questions=2, row_bytes=50_000)) and one
+
+
 def test_answer_questions_over_all_documents(spark):
     import hashlib
     import math
@@ -319,14 +364,14 @@ def test_answer_questions_over_all_documents(spark):
     for q in rel.vector_questions(spark, sf).collect():
         seen = [x for x in docs if x.source_type == "corpus" or x.conversation_id == q.query_id]
         a = np.array(q.embedding, float)
-        far = lambda x: round(1 - float(a @ vec[x.doc_id]) / np.linalg.norm(a) / np.linalg.norm(vec[x.doc_id]), 6)  # noqa: B023, E731
+        far = lambda x: round(1 - float(a @ vec[x.doc_id]) / np.linalg.norm(a) / np.linalg.norm(vec[x.doc_id]), 12)  # noqa: B023, E731
         near = sorted((x for x in seen if x.doc_id in vec and np.linalg.norm(vec[x.doc_id]) > 0), key=lambda x: (far(x), x.place))[: DEFAULTS.vector_candidates]
         asked = got[q.query_id].rewritten  # a follow-up is retrieved as it was rewritten
         terms = {w for w in re.findall("[a-z0-9]+", asked.lower()) if len(w) >= 2}
 
         def score(x):
             n = len(words[x.doc_id]) + len(named[x.doc_id])
-            return round((sum(w in terms for w in words[x.doc_id]) + 0.2 * sum(w in terms for w in named[x.doc_id])) / math.log(n + 1), 6)  # noqa: B023
+            return round((sum(w in terms for w in words[x.doc_id]) + 0.2 * sum(w in terms for w in named[x.doc_id])) / math.log(n + 1), 12)  # noqa: B023
 
         found = sorted((x for x in seen if score(x) > 0), key=lambda x: (-score(x), x.place))[: DEFAULTS.keyword_candidates]
         pool = list({x.doc_id: x for x in [*near, *found]}.values())

@@ -46,5 +46,36 @@ def test_context_blocks_match_a_plain_fold(spark):
     lines = {}
     for row in r.line_chunks(spark, SF).orderBy("doc_id", "chunk_index").collect():
         lines.setdefault(row.doc_id, []).append(dict(document_id=row.doc_id, title=f"doc-{row.doc_id}", section="", position=row.chunk_index + 1, total=row.total, content=row.content))
-    got = {row.query_id: row.n_chars for row in q.context_block(spark, SF).collect()}
-    assert got == {k: len(context_block([c for d in sorted(ds) for c in lines.get(d, [])])) for k, ds in hits.items()}
+    import hashlib
+
+    got = {row.query_id: (row.n_chars, row.context_sha256) for row in q.context_block(spark, SF).collect()}
+    plain = {k: context_block([c for d in sorted(ds) for c in lines.get(d, [])]) for k, ds in hits.items()}
+    assert got == {k: (len(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in plain.items()}
+
+
+def test_context_cap_in_the_jvm_and_in_python_agree(spark):
+    import random
+    from dataclasses import replace
+
+    from lodestone.config import DEFAULTS
+    from lodestone.functions.context import context_block
+    from lodestone.operators.context import context_blocks
+
+    rnd = random.Random(8)
+    rows, files = [], []
+    for k in range(60):
+        for d in range(rnd.randint(1, 4)):
+            rows += [(k, d, rnd.choice([None, "T", "é"]) if p == 1 else "U", rnd.choice(["", "S"]), p, 9, "x" * rnd.choice([0, 5, 40, 120])) for p in range(1, rnd.randint(2, 7))]
+        files += [(k, f"f{i}", "text") for i in range(rnd.choice([0, 0, 1, 2]))]
+    files.append((99, "only", "a file"))
+    hits = spark.createDataFrame(rows, "query_id bigint, document_id bigint, title string, section string, position int, total int, content string").repartition(3)
+    inline = spark.createDataFrame(files, "query_id bigint, filename string, text string")
+    names = hits.columns
+    for strict in (False, True):
+        for attached in (None, inline):
+            got = {r.query_id: r.context for r in context_blocks(hits, attached, replace(DEFAULTS, max_context_chars=200), strict).collect()}
+            for k, text in got.items():
+                own = [dict(zip(names, r, strict=True)) for r in rows if r[0] == k]
+                with_files = [{"filename": f, "text": t} for i, f, t in files if i == k] if attached is not None else []
+                assert text == context_block(own, with_files, 200, strict)
+            assert (99 in got) == (attached is not None)
