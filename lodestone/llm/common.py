@@ -9,13 +9,35 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_workers, shared_dir, table
 
-__all__ = ["components", "discard", "ensure_workers", "looked_up", "materialise", "new_path", "packed", "shared_dir", "sieved", "table", "unclashing", "unpacked"]
+__all__ = ["components", "discard", "discard_since", "ensure_workers", "looked_up", "materialise", "new_path", "packed", "shared_dir", "sieved", "table", "unclashing", "unpacked", "written"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
+def written() -> int:
+    """A mark for :func:`discard_since`."""
+    return len(_WRITTEN)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: DataFrame) -> None:
+    """Delete all tables that :func:`materialise` made after the mark, but for ``keep``."""
+    kept = getattr(keep, "_lodestone_path", None)
+    for path in [p for p in _WRITTEN[mark:] if p != kept]:
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, a lost executor costs nothing."""
     spark = df.sparkSession
@@ -26,6 +48,7 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path
+    _WRITTEN.append(path)
     return out
 
 
@@ -33,9 +56,7 @@ def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` that nothing will read again."""
     path = getattr(df, "_lodestone_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        _remove(df.sparkSession, path)
 
 
 #: A key is hot if it has more than this many rows and more than one in ``HOT_KEYS`` of all rows; so

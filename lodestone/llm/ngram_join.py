@@ -334,7 +334,7 @@ def _resolved(docs: DataFrame) -> DataFrame:
     discard(chosen)
     tree = components(found.where("peer is not null").select(F.hex("cid").alias("a"), F.hex("peer").alias("b")))
     degree = found.groupBy("cid").agg(F.sum("links").alias("links"))
-    per_class = classes.select("cid", "rep", "members").join(degree, "cid", "left").join(tree, F.hex("cid") == F.col("node"), "left")
+    per_class = classes.drop("sig").select("cid", "rep", "members").join(degree, "cid", "left").join(tree, F.hex("cid") == F.col("node"), "left")
     least = per_class.where("component is not null").groupBy("component").agg(F.min("rep").alias("least"))
     per_class = per_class.join(least, "component", "left").select("cid", (F.col("members") - 1).alias("copies"), F.coalesce("least", "rep").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
     none = F.lit(0).cast("bigint")

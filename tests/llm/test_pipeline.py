@@ -58,6 +58,29 @@ def test_run_equals_the_stages(spark):
     assert out.columns[0] == "doc_id" and 800 < out.count() < 1000
 
 
+def test_run_on_odd_rows_and_on_none(spark, tmp_path, odd):
+    import os
+
+    docs = spark.read.parquet(f"{SF_CORRECT}/documents.parquet")
+    passage = spark.read.parquet(f"{SF_CORRECT}/benchmark.parquet").first().text
+    more = odd.select("doc_id", "text", "lang", "source", odd.n_chars.cast(docs.schema["n_chars"].dataType).alias("n_chars"))
+    more = more.withColumn("doc_id", more.doc_id + 100_000)
+    leak = docs.where("doc_id = 0").selectExpr("200000L as doc_id", f"concat(text, ' {passage} ', text) as text", "lang", "source", "n_chars")
+    sets = {"odd": docs.unionByName(more).unionByName(more.where("doc_id = 100001")).unionByName(leak).withColumns({"n_words": docs.n_chars, "kept": docs.source, "score": docs.n_chars}), "none": docs.where("false"), "nulls": docs.selectExpr("cast(null as bigint) as doc_id", "cast(null as string) as text", "cast(null as string) as lang", "cast(null as string) as source", "cast(null as int) as n_chars")}
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    for name, rows in sets.items():
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        os.symlink(f"{SF_CORRECT}/benchmark.parquet", f"{tmp_path}/{name}/benchmark.parquet")
+        before = set(os.listdir(shared))
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(set(os.listdir(shared)) - before) == 1  # the last stage's input alone is left
+        if name == "odd":
+            ids = [r.doc_id for r in out]
+            assert 800 < len(ids) < 1100 and 200_000 not in ids and ids.count(100_001) == 1 and 100_002 not in ids
+        else:
+            assert out == []
+
+
 def plain_language(model, text):
     """(rejected, how clear that is): nearest centroid over hashed trigrams, a letter at a time."""
     codes = [0, *(ord(c) if c.isalpha() else 0 for c in text.lower()), 0]
