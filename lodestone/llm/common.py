@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_workers, shared_dir, table
 
-__all__ = ["components", "discard", "discard_since", "ensure_workers", "looked_up", "materialise", "new_path", "packed", "shared_dir", "sieved", "table", "unclashing", "unpacked", "written"]
+__all__ = ["components", "discard", "discard_since", "ensure_workers", "looked_up", "materialise", "may_have", "new_path", "packed", "shared_dir", "sieved", "table", "unclashing", "unpacked", "written"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -80,11 +80,11 @@ def looked_up(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str,
 SIEVE_BITS, SIEVE_BYTES = 1 << 26, 256
 
 
-def sieved(rows: DataFrame, wanted: DataFrame, key: str, n: int) -> DataFrame:
-    """``rows`` without some whose ``key`` (a 64-bit hash) no row of ``wanted`` has: a bitmap of fixed
-    size is broadcast, so that few rows without a partner go into a shuffle. ``n``: number of wanted
-    keys; beyond a sixteenth of ``SIEVE_BITS`` more and more others pass, and a join must follow in
-    any case."""
+def sieved(rows: DataFrame, wanted: DataFrame, key: str, n: int, flag: str = "__may") -> DataFrame:
+    """``rows`` with a ``flag``: whether a row of ``wanted`` may have its ``key`` (a 64-bit hash, not
+    null); where it is false none has. A bitmap of fixed size is broadcast, so that few rows without
+    a partner go into a shuffle. ``n``: number of wanted keys; beyond a sixteenth of ``SIEVE_BITS``
+    more and more others are flagged, and a join must follow in any case."""
     bits = min(SIEVE_BITS, 1 << max(15, (16 * n).bit_length()))
     place = lambda: F.pmod(F.col(key), F.lit(bits))
     at = F.bitmap_bit_position(place() + 1)
@@ -94,8 +94,14 @@ def sieved(rows: DataFrame, wanted: DataFrame, key: str, n: int) -> DataFrame:
     width = 8 * SIEVE_BYTES
     asked = rows.withColumns({"__bucket": F.bitmap_bucket_number(place() + 1), "__chunk": F.floor(at / width).cast("int"), "__bit": F.pmod(at, F.lit(width)).cast("int")})
     byte = F.conv(F.hex(F.substring("__map", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("shiftright(__byte, pmod(__bit, 8)) & 1 = 1")
-    return asked.join(F.broadcast(maps), ["__bucket", "__chunk"]).withColumn("__byte", byte).where(hit).select(*rows.columns)
+    hit = F.coalesce(F.expr("shiftright(__byte, pmod(__bit, 8)) & 1 = 1"), F.lit(False))
+    found = asked.join(F.broadcast(maps), ["__bucket", "__chunk"], "left").withColumn("__byte", byte)
+    return found.select(*rows.columns, hit.alias(flag))
+
+
+def may_have(rows: DataFrame, wanted: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows that :func:`sieved` flags."""
+    return sieved(rows, wanted, key, n).where("__may").drop("__may")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

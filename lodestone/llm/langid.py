@@ -108,17 +108,33 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centre
 
 
-def fit_centroids(samples: dict[str, np.ndarray], k: int = CENTROIDS) -> Centroids:
-    """``samples``: counts by language. Centroids are those of the long texts, where a language has
-    some. The floor of a centroid is half the least cosine but 1 % of its own long texts, far below
-    what a clean text of the language has; with fewer than 20 of these, that of the language."""
-    samples = {g: x for g, x in sorted(samples.items()) if len(x)}
+def packed_counts(counts: np.ndarray) -> bytes:
+    """The bins of a text that are not empty: their numbers, then their counts."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + counts[at].astype("<f4").tobytes()
+
+
+def unpacked_counts(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), DIMS), np.float32)
+    for row, x in zip(out, rows, strict=True):
+        n = len(x) // 6
+        row[np.frombuffer(x, "<u2", n)] = np.frombuffer(x, "<f4", n, 2 * n)
+    return out
+
+
+def fit_centroids(samples: dict[str, list[bytes]], k: int = CENTROIDS) -> Centroids:
+    """``samples``: packed counts by language, of which one language's are unpacked at a time.
+    Centroids are those of the long texts, where a language has some. The floor of a centroid is half
+    the least cosine but 1 % of its own long texts, far below what a clean text of the language has;
+    with fewer than 20 of these, that of the language."""
+    samples = {g: x for g, x in sorted(samples.items()) if x}
     if not samples:
         return Centroids(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], np.zeros(0))
     texts = sum(map(len, samples.values()))
-    idf = (np.log((1 + texts) / (1 + sum((x > 0).sum(0) for x in samples.values()))) + 1).astype(np.float32)
+    idf = (np.log((1 + texts) / (1 + sum((unpacked_counts(x) > 0).sum(0) for x in samples.values()))) + 1).astype(np.float32)
     centre, lang, floor = [], [], []
-    for g, x in samples.items():
+    for g, rows in samples.items():
+        x = unpacked_counts(rows)
         long = x.sum(1) >= LONG
         v = _unit(np.log1p(x[long] if long.any() else x) * idf)
         c = cluster(v, k)
@@ -162,17 +178,20 @@ def fit(docs: DataFrame, usable=None, max_texts: int = MAX_FIT_TEXTS, k: int = C
             for lo in range(0, len(texts), 128):
                 counts, lettered = trigram_counts(texts[lo : lo + 128])
                 for i in np.flatnonzero(lettered).tolist():
-                    held.setdefault(langs[lo + i], []).append((hs[lo + i], counts[i].tobytes()))
+                    held.setdefault(langs[lo + i], []).append((hs[lo + i], packed_counts(counts[i])))
                 held = {g: sorted(x)[:most] if len(x) > most else x for g, x in held.items()}
         rows = [(g, *x) for g, xs in held.items() for x in xs]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["lang", "h", "x"])
 
     least = Window.partitionBy("lang").orderBy("h", "x")
     rows = drawn.mapInArrow(tk.lean(run), "lang string, h bigint, x binary").withColumn("at", F.row_number().over(least)).where(F.col("at") <= most)
-    found: dict[str, list[np.ndarray]] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r.lang, r.at)):
-        found.setdefault(r.lang, []).append(np.frombuffer(r.x, np.float32))
-    return fit_centroids({g: np.array(x) for g, x in found.items()}, k)
+    found: dict[str, list[bytes]] = {}
+    for r in rows.orderBy("lang", "at").collect():
+        found.setdefault(r.lang, []).append(bytes(r.x))
+    model = fit_centroids(found, k)
+    del found
+    tk.trim()
+    return model
 
 
 def apply(docs: DataFrame, model: Centroids, keep: list[str] | None = None, text: str = "text") -> DataFrame:

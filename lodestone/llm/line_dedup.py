@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, looked_up, materialise, packed, unpacked
+from .common import discard, looked_up, materialise, packed, sieved, unpacked
 
 MIN_LENGTH, MIN_DOCS = 20, 3
 BATCHES, FANOUT = 4, 2
@@ -134,11 +134,19 @@ def dedup(docs: DataFrame, **limits: int) -> DataFrame:
     gone = dropped_lines(docs.select("doc_id", "text"), **limits)
     t1, t2 = _row_hash()
     left = packed(docs.select(*names), "doc_id", "text").withColumns({"__doc": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("bigint"), "__t1": t1, "__t2": t2})
-    out = left.join(gone, (left["__doc"] == gone["doc"]) & (left["__t1"] == gone["t1"]) & (left["__t2"] == gone["t2"]), "left")
+    # documents that a sieve clears lose no line and need no join: only the others are shuffled
+    flagged = sieved(left, gone.select(F.col("t1").alias("__t1")), "__t1", gone.count())
+    clear, left = flagged.where("not __may"), flagged.where("__may")
+    hit = left.join(gone, (left["__doc"] == gone["doc"]) & (left["__t1"] == gone["t1"]) & (left["__t2"] == gone["t2"]), "left").drop("doc", "t1", "t2")
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(text, "\n", -1)
-    own = [F.size(lines).cast("bigint").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_dropped"), F.when(F.col("gone").isNull(), text).otherwise(kept_lines(lines, F.col("gone"))).alias("kept")]
-    return out.select(*[(F.col(c) if c in ("doc_id", "text") else F.col("__rest").getField(c)).alias(c) for c in names], *own)
+
+    def shown(rows: DataFrame, n_dropped: Column, kept: Column) -> DataFrame:
+        own = [F.size(lines).cast("bigint").alias("n_lines"), n_dropped.cast("bigint").alias("n_dropped"), kept.alias("kept")]
+        return rows.select(*[(F.col(c) if c in ("doc_id", "text") else F.col("__rest").getField(c)).alias(c) for c in names], *own)
+
+    some = F.when(F.col("gone").isNull(), text).otherwise(kept_lines(lines, F.col("gone")))
+    return shown(hit, F.coalesce(F.size("gone"), F.lit(0)), some).unionByName(shown(clear, F.lit(0), text))
 
 
 def kept_lines(lines: Column, gone: Column) -> Column:

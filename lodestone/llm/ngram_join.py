@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .common import components, discard, ensure_workers, looked_up, materialise, packed, sieved, unpacked
+from .common import components, discard, ensure_workers, looked_up, materialise, may_have, packed, sieved, unpacked
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -269,7 +269,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
     kept = shared.groupBy("hub", "far", "n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.key", "hub", "n")
     kept = materialise(kept, "kept")
     n_kept, rows = kept.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    written = materialise(sieved(band, kept, "key", n_kept), "bands")
+    written = materialise(may_have(band, kept, "key", n_kept), "bands")
     members = materialise(looked_up(written, kept, ["key"], "n", rows), "members")
     discard(written)
     groups = materialise(components(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "groups")
@@ -324,7 +324,7 @@ def _resolved(docs: DataFrame) -> DataFrame:
     # texts of the classes that are left, each looked for once
     meets = left.groupBy("cid").agg(F.collect_list(F.struct("task", "side", "alone", "band", "mask")).alias("meets"))
     chosen = materialise(classes.join(meets, "cid").select("rep.doc_id", "rep.th1", "rep.th2", "cid", "members", "sig", "meets"), "chosen")
-    base = sieved(base, chosen, "th1", chosen.count())
+    base = may_have(base, chosen, "th1", chosen.count())
     if repeats(feats):  # equal rows would all follow their class into one task
         base = base.dropDuplicates(["doc_id", "th1", "th2"])
     rows = base.join(chosen, (base.th1 == chosen.th1) & (base.th2 == chosen.th2) & base.doc_id.eqNullSafe(chosen.doc_id)).select("cid", "members", "sig", "text", F.explode("meets").alias("meet"))
@@ -364,15 +364,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     last, rows of one id in order of a hash of the text). Documents without words all stay."""
     found = materialise(_resolved(docs).where("n_links > 0"), "joined")
     lost = found.where("not (doc_id <=> first.doc_id and th1 = first.th1 and th2 = first.th2)").select("doc_id", "th1", "th2").distinct()
+    again = repeats(found)
+    asked = materialise(lost.union(found.select("doc_id", "th1", "th2")) if again else lost, "lost")
     marked = packed(docs, "doc_id", "text")
     marked = marked.withColumns({f"__{c}": h for c, h in zip(("th1", "th2"), _text_hash(), strict=True)})
 
     def on(other: DataFrame):
         return (marked["__th1"] == other.th1) & (marked["__th2"] == other.th2) & marked.doc_id.eqNullSafe(other.doc_id)
 
+    # texts that a sieve clears need no join: only the others are shuffled
+    flagged = sieved(marked, asked.withColumnRenamed("th1", "__th1"), "__th1", asked.count())
+    clear, marked = flagged.where("not __may").drop("__may"), flagged.where("__may").drop("__may")
     left = marked.join(lost, on(lost), "left_anti")
-    if repeats(found):
+    if again:
         twice = found.groupBy("doc_id", "th1", "th2").count().where("count > 1")
         once = left.join(twice, on(twice), "left_semi").dropDuplicates(["doc_id", "__th1", "__th2"])
         left = left.join(twice, on(twice), "left_anti").unionByName(once)
-    return unpacked(left, docs.columns, "doc_id", "text")
+    return unpacked(left.unionByName(clear), docs.columns, "doc_id", "text")

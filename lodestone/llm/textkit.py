@@ -149,6 +149,16 @@ def replace_columns(batch: pa.RecordBatch, keep: list[str], **new: pa.Array) ->
 Batches = Iterator[pa.RecordBatch]
 
 
+def trim() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library frees in its own way
+        pass
+
+
 def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """``run`` as a task that leaves no memory with its worker, which lives on for later tasks."""
 
@@ -156,11 +166,6 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except OSError:  # another C library frees in its own way
-                pass
+            trim()
 
     return task
