@@ -64,13 +64,16 @@ def discard(df: DataFrame) -> None:
 HOT_ROWS, HOT_KEYS = 256, 1000
 
 
-def looked_up(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+def looked_up(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, total: int, most: int) -> DataFrame:
     """The inner join of ``rows`` with ``lookup`` (unique ``keys``) in which no key is hot.
 
-    ``weight``: a column of ``lookup``, the number of rows with its key; ``total``: of all rows, or a
-    stated fraction of them. Rows of hot keys meet their partners by broadcast and stay where they are,
-    all others by a shuffle. ``rows`` is read twice, so it should be a written table."""
+    ``weight``: a column of ``lookup``, the number of rows with its key, and ``most`` the greatest;
+    ``total``: of all rows, or a stated fraction of them. Rows of hot keys meet their partners by
+    broadcast and stay where they are, all others by a shuffle. ``rows`` and ``lookup`` are then read
+    twice, so they should be written tables."""
     least = max(HOT_ROWS, total // HOT_KEYS)
+    if most <= least:
+        return rows.join(lookup, keys)
     hot = F.broadcast(lookup.where(F.col(weight) > least))
     rest = lookup.where(F.col(weight) <= least)
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys))
@@ -119,11 +122,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # large star: every larger neighbour of a node is hung on the least of its neighbourhood
         near = cur.union(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-        large = looked_up(near.where("b > a"), least, ["a"], "n", seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        most = near.groupBy("a").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+        large = looked_up(near.where("b > a"), least, ["a"], "n", seen[0], most).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialise(large.where("a <> b").distinct(), "stars")
         # small star: every smaller neighbour of a node, and the node, is hung on the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = looked_up(large, least, ["a"], "n", seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        # a node has no more rows here than neighbours before
+        small = looked_up(large, least, ["a"], "n", seen[0], most).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         nxt = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         discard(cur)
         discard(large)

@@ -111,12 +111,14 @@ def dropped_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int =
         part = part if upper is None else part.where(F.col("doc") <= upper)
         runs.add(part.select("k1", "k2", "doc").distinct())
         upper = lower
-    common = merged(runs.all()).where(F.col("n") >= min_docs).select("k1", "k2", "last", "n")
+    common = materialise(merged(runs.all()).where(F.col("n") >= min_docs).select("k1", "k2", "last", "n"), "common")
+    most = common.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     # a line of very many documents is looked up by broadcast; n is the number of its documents
-    hits = looked_up(long, common, ["k1", "k2"], "n", n_long).where("doc < last").select("doc", "t1", "t2", "pos")
+    hits = looked_up(long, common, ["k1", "k2"], "n", n_long, most).where("doc < last").select("doc", "t1", "t2", "pos")
     # flags of every line of the texts concerned, in order
     flags = materialise(hits.groupBy("doc", "t1", "t2").agg(F.collect_set("pos").alias("gone")), "flags")
     runs.discard()
+    discard(common)
     discard(rows)
     return flags
 

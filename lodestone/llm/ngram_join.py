@@ -268,16 +268,18 @@ def _buckets(classes: DataFrame) -> DataFrame:
     # buckets of equal members: the first stands for all
     kept = shared.groupBy("hub", "far", "n", "x", "y").agg(F.min(F.struct("band", "key")).alias("b")).select("b.key", "hub", "n")
     kept = materialise(kept, "kept")
-    n_kept, rows = kept.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_kept, rows, most = kept.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     written = materialise(may_have(band, kept, "key", n_kept), "bands")
-    members = materialise(looked_up(written, kept, ["key"], "n", rows), "members")
+    members = materialise(looked_up(written, kept, ["key"], "n", rows, most), "members")
     discard(written)
     groups = materialise(components(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "groups")
     size = groups.groupBy("component").agg(F.count("*").cast("double").alias("size"))
     # comparisons of a component's buckets against those of the whole
     cost = kept.join(groups, F.col("hub") == F.col("node")).groupBy("component").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("cost"))
     whole = size.join(cost, "component").select("component", (F.col("size") * F.col("size") <= F.col("cost")).alias("whole"), F.col("size").cast("bigint").alias("size"))
-    whole = materialise(looked_up(groups, whole, ["component"], "size", rows).select("node", "component", "whole"), "wholes")
+    whole = materialise(whole, "sizes")
+    most = whole.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+    whole = materialise(looked_up(groups, whole, ["component"], "size", groups.count(), most).select("node", "component", "whole"), "wholes")
     discard(groups)
     none = F.lit(None)
     once = whole.where("whole").select("node", F.col("component").alias("bucket"), none.cast("int").alias("band"), none.cast("bigint").alias("mask"))
@@ -289,7 +291,9 @@ def _buckets(classes: DataFrame) -> DataFrame:
     for spent in (kept, members, whole):
         discard(spent)
     blocks = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    return looked_up(rows, blocks, ["bucket"], "size", rows.count()).select("cid", "bucket", "band", "mask", "blocks")
+    blocks = materialise(blocks, "blocks")
+    n, most = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    return looked_up(rows, blocks, ["bucket"], "size", n, most).select("cid", "bucket", "band", "mask", "blocks")
 
 
 def _tasks(rows: DataFrame) -> DataFrame:

@@ -91,7 +91,9 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: str = RULES_VERSION, ke
     entries = ledger.where(F.col("rules") == rules).drop("rules")
     hits = entries.groupBy("blob").agg(F.first("spans").alias("spans"), *[F.first(f"n_{k}").alias(f"n_{k}") for k in KINDS])
     held = at.groupBy("blob").agg(F.count("*").alias("__paths"))
-    found = looked_up(at, held.join(hits, "blob", "left"), ["blob"], "__paths", at.count())
+    held = materialise(held.join(hits, "blob", "left"), "held")
+    n, most = held.agg(F.coalesce(F.sum("__paths"), F.lit(0)), F.coalesce(F.max("__paths"), F.lit(0))).first()
+    found = looked_up(at, held, ["blob"], "__paths", n, most)
     return found.select(*keep, *added)
 
 

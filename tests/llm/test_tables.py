@@ -302,7 +302,7 @@ def test_sieve_lets_all_wanted_rows_pass(spark, monkeypatch):
 def test_hot_keys_are_joined_too(spark):
     rows = spark.range(5000).selectExpr("id", "if(id % 3 = 0, 7, id) as k", "id as v")
     look = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
-    got = common.looked_up(rows, look, ["k"], "n", 5000)
+    got = common.looked_up(rows, look, ["k"], "n", 5000, 1667)
     assert sorted(map(tuple, got.select("id", "m").collect())) == sorted(map(tuple, rows.join(look, "k").select("id", "m").collect())) and got.count() == 5000
 
 
