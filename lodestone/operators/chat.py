@@ -12,9 +12,11 @@ TITLE_CHARS = 100
 
 
 def conversation_list(conversations: DataFrame, messages: DataFrame) -> DataFrame:
-    """``conv_id, title, updated_at, n_messages``: every conversation, those without messages too."""
+    """``conv_id, title, updated_at, n_messages``: every conversation, those without messages too, the
+    one last changed first."""
     count = messages.groupBy("conv_id").agg(F.count("*").alias("n"))
-    return conversations.join(count, "conv_id", "left").select("conv_id", "title", "updated_at", F.coalesce("n", F.lit(0)).alias("n_messages"))
+    listed = conversations.join(count, "conv_id", "left").select("conv_id", "title", "updated_at", F.coalesce("n", F.lit(0)).alias("n_messages"))
+    return listed.orderBy(F.col("updated_at").desc(), "conv_id")
 
 
 def conversation_detail(messages: DataFrame) -> DataFrame:

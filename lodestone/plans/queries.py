@@ -11,8 +11,8 @@ from ..functions import classify as cl
 from ..functions import headers, jsonparts
 from ..functions import tables as t
 from ..functions import structure
-from ..operators import chat, chunk, context, evaluate, keyword, models, retrieve, sync, vector
-from ..session import ensure_workers, materialise, shared_dir, table
+from ..operators import chat, chunk, context, evaluate, keyword, lookup, models, retrieve, sync, vector
+from ..session import materialise, shared_dir, table
 from ..sources import connector
 from ..sources import files as src
 from ..streaming import sync_stream as stream
@@ -278,24 +278,22 @@ def html_parse(spark: SparkSession, d: str) -> DataFrame:
     return src.parsed_pages(table(spark, d, "pages"))
 
 
-# -- samples with known results
+# -- readers of one text, over whole tables
 
 
-def _goldens(spark: SparkSession, rows: list[tuple[str, str, str]], fn) -> DataFrame:
-    """``name, got`` of ``(name, input, expected)`` rows, ``fn`` applied on the workers."""
-    ensure_workers(spark)
-    df = spark.createDataFrame([(n, i) for n, i, _ in rows], "name string, input string")
-    return df.select("name", F.udf(fn, "string")("name", "input").alias("got"))
+def _mapped(rows: DataFrame, key: str, fn) -> DataFrame:
+    """``key, got``: ``fn`` of the text in ``input``, on the workers."""
+    return chunk._flat_map(rows.select(key, "input"), [key], "got string", lambda row: [(fn(row["input"]),)])
 
 
-def _expect(rows: list[tuple[str, str, str]]) -> str:
-    quote = lambda x: "'" + x.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({quote(n)}, {quote(e)})" for n, _, e in rows) + ") AS x(name, got)"
-
-
-@query(_expect(samples.TABLES))
+@query("SELECT o_custkey AS custkey, '| order | status |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' |', chr(10) ORDER BY o_orderkey) AS got FROM orders GROUP BY o_custkey")
 def html_table_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return _goldens(spark, samples.TABLES, lambda name, x: structure.table_markdown(x))
+    """The orders of every customer as an HTML table, read back as Markdown."""
+    orders = table(spark, d, "orders")
+    held = orders.groupBy(F.col("o_custkey").alias("custkey")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("os"))
+    body = F.array_join(F.transform("os", lambda o: F.concat(F.lit("<TR class='r'><td> "), o["o_orderkey"].cast("string"), F.lit("</td>\n<td><b>"), o["o_orderstatus"], F.lit("</b></td></TR>"))), "")
+    html = F.concat(F.lit("<table><tr><th>order</th><th>status</th></tr><tr><td> </td></tr>"), body, F.lit("</table>"))
+    return _mapped(held.select("custkey", html.alias("input")), "custkey", structure.table_markdown)
 
 
 @query("SELECT event_id, CASE WHEN props IS NULL THEN NULL ELSE 'JSON object with keys: ' || array_to_string(json_keys(props)[:15], ', ') || CASE WHEN len(json_keys(props)) > 15 THEN ' and ' || (len(json_keys(props)) - 15) || ' others' ELSE '' END || '.' END AS header FROM events")
@@ -306,23 +304,41 @@ def json_header(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.when(F.col("props").isNotNull(), head).alias("header"))
 
 
-@query(_expect(samples.YAML))
-def yaml_header(spark: SparkSession, d: str) -> DataFrame:
-    return _goldens(spark, samples.YAML, lambda name, x: headers.header("yaml", x, name.split(":")[0] if ":" in name else None))
-
-
 def _first_header(fmt: str, filename: str):
-    return lambda name, x: structure.chunk_structured(x, fmt, filename)[0].text.split("\n")[1]
+    return lambda x: structure.chunk_structured(x, fmt, filename)[0].text.split("\n")[1]
 
 
-@query(_expect(samples.HCL))
+@query("SELECT c_custkey AS custkey, CASE c_custkey % 3 WHEN 0 THEN 'Kubernetes Deployment \"c' || c_custkey || '\" in namespace \"' || lower(c_mktsegment) || '\". Configures: replica count.' WHEN 1 THEN 'Kubernetes ConfigMap \"c' || c_custkey || '\" in namespace \"' || lower(c_mktsegment) || '\". Configures: keys: name, nation' || c_nationkey || '.' ELSE 'YAML configuration with top-level keys: customer, nation' || c_nationkey || '.' END AS got FROM customer")
+def yaml_header(spark: SparkSession, d: str) -> DataFrame:
+    """Every customer as a manifest, a map of settings or plain YAML."""
+    c = table(spark, d, "customer")
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    meta = F.concat(F.lit("\nmetadata:\n  name: c"), k, F.lit("\n  namespace: "), F.lower("c_mktsegment"))
+    texts = [
+        F.concat(F.lit("apiVersion: apps/v1\nkind: Deployment"), meta, F.lit("\nspec:\n  replicas: "), n, F.lit("\n")),
+        F.concat(F.lit("apiVersion: v1\nkind: ConfigMap"), meta, F.lit("\ndata:\n  name: '"), F.col("c_name"), F.lit("'\n  nation"), n, F.lit(": x\n")),
+        F.concat(F.lit("customer: "), k, F.lit("  # of a segment\nnation"), n, F.lit(":\n  - a: 1\n")),
+    ]
+    kind = F.col("c_custkey") % 3
+    return _mapped(c.select(F.col("c_custkey").alias("custkey"), F.when(kind == 0, texts[0]).when(kind == 1, texts[1]).otherwise(texts[2]).alias("input")), "custkey", lambda x: headers.header("yaml", x, None))
+
+
+@query("SELECT s_suppkey AS suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'Terraform resource \"kind_' || s_nationkey || '\". Attributes: balance, nation' || s_nationkey || ', tags block.' ELSE 'Terraform variable \"s' || s_suppkey || '\".' END AS got FROM supplier")
 def hcl_header(spark: SparkSession, d: str) -> DataFrame:
-    return _goldens(spark, samples.HCL, _first_header("terraform", "main.tf"))
+    """Every supplier as a Terraform block."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    resource = F.concat(F.lit('resource "kind_'), n, F.lit('" "s'), k, F.lit('" {\n  balance = 1 # } no end\n  nation'), n, F.lit(' = "{"\n  tags {\n    a = 1\n  }\n}\n'))
+    text = F.when(F.col("s_suppkey") % 2 == 0, resource).otherwise(F.concat(F.lit('variable "s'), k, F.lit('" {}\n')))
+    return _mapped(table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), text.alias("input")), "suppkey", _first_header("terraform", "main.tf"))
 
 
-@query(_expect(samples.PUPPET))
+@query("SELECT s_suppkey AS suppkey, 'Puppet block with parameters: version, nation' || s_nationkey || '; declares resources: ' || CASE WHEN s_suppkey % 2 = 0 THEN 'file' ELSE 'package' END || '.' AS got FROM supplier")
 def puppet_header(spark: SparkSession, d: str) -> DataFrame:
-    return _goldens(spark, samples.PUPPET, _first_header("puppet", "site.pp"))
+    """Every supplier as a class with parameters and a resource."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    kind = F.when(F.col("s_suppkey") % 2 == 0, "file").otherwise("package")
+    text = F.concat(F.lit("class s"), k, F.lit(" (\n  String $version = '1',\n  $nation"), n, F.lit(" = present,\n) {\n  "), kind, F.lit(" { 'x':\n    ensure => $version,\n  }\n}\n"))
+    return _mapped(table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), text.alias("input")), "suppkey", _first_header("puppet", "site.pp"))
 
 
 @query()
@@ -508,8 +524,19 @@ def refusal_rate(spark: SparkSession, d: str) -> DataFrame:
     return said.unionByName(known).groupBy("origin").agg(F.count("*").alias("n"), F.count_if(cl.is_refusal(F.col("text"))).alias("refused"))
 
 
-@query()
+@query("SELECT doc_id, 64 AS width, CASE WHEN regexp_matches(coalesce(text, ''), '[^\\s]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents")
 def embed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Widths and lengths of the stand-in model's vectors: every text with a word has one of length 1."""
     docs = models.embedded(table(spark, d, "documents").select("doc_id", "text"), "text", models.hashing_embedder)
     norm = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return docs.select("doc_id", F.size("embedding").alias("width"), F.round(F.sqrt(norm), 3).alias("norm"), "embedding")
+    return docs.select("doc_id", F.size("embedding").alias("width"), F.round(F.sqrt(norm), 3).alias("norm"))
+
+
+@query(f"WITH {r.CONVS} SELECT conv_id, title, updated_at FROM convs WHERE conv_id = 7")
+def point_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.by_key(r.conversations(spark, d), conv_id=7).select("conv_id", "title", "updated_at")
+
+
+@query("SELECT event_id, event_type FROM events WHERE coalesce(json_extract_string(props, '$.k') = '42', false)")
+def metadata_predicate(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").where(lookup.json_is(F.col("props"), "$.k", "42")).select("event_id", "event_type")
