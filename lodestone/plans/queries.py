@@ -468,22 +468,47 @@ def sync_stream(spark: SparkSession, d: str) -> DataFrame:
     return stream.run_available(spark, _listing(listings), _stored(spark, d), root + "/out", root + "/state")
 
 
-@query(samples.PERMISSIONS_SQL)
+@query("SELECT CAST(c_custkey AS VARCHAR) AS file_id, CASE c_custkey % 5 WHEN 0 THEN 'u' || c_custkey || '@x.io,anyone' WHEN 1 THEN 'domain:' || c_name || ',g' || c_nationkey || '@x.io' WHEN 2 THEN 'domain:d' || c_nationkey || '.io' WHEN 3 THEN '' ELSE '' END AS permissions FROM customer")
 def permissions_flatten(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.PERMISSIONS, "file_id string, permissions array<struct<type:string,emailAddress:string,displayName:string>>")
-    return rows.select("file_id", F.array_join(cl.flat_permissions(F.col("permissions")), ",").alias("permissions"))
+    """Every customer as a file with a list of permissions, none of them or no list."""
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
+    none = F.lit(None).cast("string")
+    entry = lambda kind, mail=none, shown=none: F.struct(F.lit(kind).alias("type"), mail.alias("emailAddress"), shown.alias("displayName"))
+    lists = [
+        F.array(entry("user", F.concat(F.lit("u"), k, F.lit("@x.io"))), entry("user", none, F.col("c_name")), entry("anyone")),
+        F.array(entry("domain", none, F.col("c_name")), entry("group", F.concat(F.lit("g"), n, F.lit("@x.io")), F.col("c_name"))),
+        F.array(entry("domain", F.concat(F.lit("d"), n, F.lit(".io"))), entry("other", F.lit("o@x.io"))),
+        F.slice(F.array(entry("anyone")), 1, 0),
+    ]
+    kind = F.col("c_custkey") % 5
+    chosen = F.when(kind == 0, lists[0]).when(kind == 1, lists[1]).when(kind == 2, lists[2]).when(kind == 3, lists[3])
+    return table(spark, d, "customer").select(k.alias("file_id"), F.array_join(cl.flat_permissions(chosen), ",").alias("permissions"))
 
 
-@query(samples.FOLDERS_SQL)
+@query("SELECT CAST(c_custkey AS VARCHAR) AS file_id, CASE c_custkey % 4 WHEN 0 THEN '/' || n_name || '/x' || c_custkey WHEN 1 THEN '/' || n_name ELSE '/' END AS folder_path FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def folder_path(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.PARENTS, "file_id string, parents array<string>")
-    names = F.create_map(*[F.lit(x) for kv in samples.FOLDER_NAMES.items() for x in kv])
-    return rows.select("file_id", cl.folder_path(F.col("parents"), names).alias("folder_path"))
+    """Every customer as a file below its nation's folder, whose id has a name; other ids have none."""
+    entries = F.collect_list(F.struct(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.col("n_name")))
+    names = table(spark, d, "nation").agg(F.map_from_entries(entries).alias("names"))  # one row
+    k, own = F.col("c_custkey").cast("string"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    kind = F.col("c_custkey") % 4
+    parents = F.when(kind == 0, F.array(own, F.concat(F.lit("x"), k))).when(kind == 1, F.array(own)).when(kind == 2, F.array().cast("array<string>"))
+    return table(spark, d, "customer").crossJoin(F.broadcast(names)).select(k.alias("file_id"), cl.folder_path(parents, F.col("names")).alias("folder_path"))
+
 
+# Types that the synthetic listing deals out by id; the first are native ones.
+_MIMES = (*t.EXPORTS, t.NATIVE_PREFIX + "form", "application/pdf", "text/plain")
+_TAKEN = ", ".join(f"'{e}'" for e in t.LISTING_EXTENSIONS)
+_EXPORTED = "ex(k, m, e) AS (VALUES " + ", ".join(f"('{k}', '{m}', '{e}')" for k, (m, e) in t.EXPORTS.items()) + ")"
 
-@query(samples.LISTING_SQL)
+
+@query(
+    f"WITH {r.FILES}, {_EXPORTED}, l AS (SELECT CAST(doc_id AS VARCHAR) AS file_id, name, {r.sql_list(_MIMES)}[doc_id % {len(_MIMES)} + 1] AS mime FROM files), x AS (SELECT l.*, ex.m, ex.e, {_EXT.format('name')} AS ext FROM l LEFT JOIN ex ON ex.k = mime) "
+    rf"SELECT file_id, CASE WHEN e IS NOT NULL THEN regexp_replace(name, '^(.+)\.[^.]*$', '\1') || e ELSE name END AS name, coalesce(m, mime) AS mime_type FROM x WHERE CASE WHEN starts_with(mime, '{t.NATIVE_PREFIX}') THEN m IS NOT NULL ELSE ext IN ({_TAKEN}) END"
+)
 def listing_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(samples.LISTING, "file_id string, name string, mime_type string")
+    """Every document as a listed file of a name and a type."""
+    rows = r.files(spark, d).select(F.col("doc_id").cast("string").alias("file_id"), "name", r._pick(_MIMES, F.col("doc_id")).alias("mime_type"))
     return connector.eligible(rows).select("file_id", "name", "mime_type")
 
 

@@ -79,11 +79,11 @@ PERMISSIONS = [
     ("f3", []),
     ("f4", None),
 ]
-PERMISSIONS_SQL = "SELECT * FROM (VALUES ('f1', 'a@x.io,domain:x.com,anyone'), ('f2', 'g@x.io,domain:d@x.io'), ('f3', ''), ('f4', '')) AS x(file_id, permissions)"
+PERMISSIONS_GOT = {"f1": "a@x.io,domain:x.com,anyone", "f2": "g@x.io,domain:d@x.io", "f3": "", "f4": ""}
 FOLDER_NAMES = {"p1": "Ops", "p2": "Runbooks"}
 PARENTS = [("f1", ["p1", "p2"]), ("f2", ["p9"]), ("f3", []), ("f4", None)]
-FOLDERS_SQL = "SELECT * FROM (VALUES ('f1', '/Ops/Runbooks'), ('f2', '/p9'), ('f3', '/'), ('f4', '/')) AS x(file_id, folder_path)"
+FOLDERS_GOT = {"f1": "/Ops/Runbooks", "f2": "/p9", "f3": "/", "f4": "/"}
 _APP = "application/vnd.google-apps."
 LISTING = [("1", "Plan", _APP + "document"), ("2", "Sheet.v2", _APP + "spreadsheet"), ("3", "Talk", _APP + "presentation"), ("4", "Form", _APP + "form"), ("5", "a.PDF", "application/pdf"), ("6", "a.zip", "application/zip"), ("7", "Dockerfile", "text/plain"), ("8", "n.md", "text/markdown")]
-LISTING_SQL = "SELECT * FROM (VALUES ('1', 'Plan.html', 'text/html'), ('2', 'Sheet.csv', 'text/csv'), ('3', 'Talk.txt', 'text/plain'), ('5', 'a.PDF', 'application/pdf'), ('8', 'n.md', 'text/markdown')) AS x(file_id, name, mime_type)"
+LISTING_GOT = [("1", "Plan.html", "text/html"), ("2", "Sheet.csv", "text/csv"), ("3", "Talk.txt", "text/plain"), ("5", "a.PDF", "application/pdf"), ("8", "n.md", "text/markdown")]
 ANSWERS = ("I could not find this information in the available documents.", "The port is 8080.", "I DON'T HAVE that.", "We were unable to locate it.", "There is no relevant information here.", "It cannot answer.", "no matching details", "Not in the provided documents.")

@@ -325,6 +325,19 @@ def test_chunks_keep_their_keys(spark):
     assert sorted(map(str, (tuple(r) for r in chunk.prose_chunks(rows).collect()))) == sorted(map(str, [(2**53 + 1, 0, 1, "a b"), (None, 0, 1, "c")]))
 
 
+def test_listings_of_known_results(spark):
+    from lodestone.plans import samples
+
+    rows = spark.createDataFrame(samples.PERMISSIONS, "file_id string, permissions array<struct<type:string,emailAddress:string,displayName:string>>")
+    got = rows.select("file_id", F.array_join(cl.flat_permissions(F.col("permissions")), ",").alias("p")).collect()
+    assert {r.file_id: r.p for r in got} == samples.PERMISSIONS_GOT
+    names = F.create_map(*[F.lit(x) for kv in samples.FOLDER_NAMES.items() for x in kv])
+    rows = spark.createDataFrame(samples.PARENTS, "file_id string, parents array<string>")
+    assert {r.file_id: r.p for r in rows.select("file_id", cl.folder_path(F.col("parents"), names).alias("p")).collect()} == samples.FOLDERS_GOT
+    rows = spark.createDataFrame(samples.LISTING, "file_id string, name string, mime_type string")
+    assert sorted(map(tuple, connector.eligible(rows).collect())) == samples.LISTING_GOT
+
+
 def test_ranks_go_by_more_than_is_shown(spark):
     rows = spark.createDataFrame([(1, [1.0, 2e-4]), (2, [1.0, 1e-4]), (3, None), (4, [0.0, 0.0]), (5, [1.0])], "vec_id bigint, embedding array<double>")
     q = spark.createDataFrame([(9, [1.0, 0.0])], "vec_id bigint, embedding array<double>")
