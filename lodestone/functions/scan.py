@@ -77,10 +77,10 @@ def closing(flat: str, at: int) -> int:
 
 
 def outermost(spans: list[Span]) -> list[Span]:
-    """Spans that lie in no other."""
+    """Spans that lie in no other; of spans with equal ends none lies in another."""
     out: list[Span] = []
     for s in sorted(spans, key=lambda s: (s.start, -s.end)):
-        if not out or s.end > out[-1].end:
+        if not out or s.end > out[-1].end or (s.start, s.end) == (out[-1].start, out[-1].end):
             out.append(s)
     return out
 

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.classify import is_refusal
+
+#: Fixed value: the category of questions that should be refused.
+REFUSAL = "refusal"
+
 
 def scores(expected: DataFrame, ranking: DataFrame, questions: DataFrame, **ranks: str) -> DataFrame:
     """``query_id, recall, hit`` of every question and, for each of ``ranks`` (name to column), the
@@ -21,6 +26,15 @@ def scores(expected: DataFrame, ranking: DataFrame, questions: DataFrame, **rank
     return out.select("query_id", recall.alias("recall"), *[F.coalesce(F.round(1 / F.col(f"__{name}"), 6), F.lit(0.0)).alias(name) for name in ranks], (f > 0).cast("int").alias("hit"))
 
 
+def with_refusals(scored: DataFrame, asked: DataFrame) -> DataFrame:
+    """``scored`` where questions of the category ``refusal`` go by their answer alone: all ones if
+    it refuses, zeros if not or if there is none. ``asked(query_id, category, answer)``; a question
+    that isn't asked keeps its scores."""
+    known = asked.select("query_id", (F.col("category") == REFUSAL).alias("__by_answer"), is_refusal(F.col("answer")).alias("__refused"))
+    one = lambda c: F.when(F.col("__by_answer"), F.col("__refused").cast("int")).otherwise(F.col(c)).alias(c)
+    return scored.join(known, "query_id", "left").select(*[c if c == "query_id" else one(c) for c in scored.columns])
+
+
 def by_category(scored: DataFrame, categories: DataFrame) -> DataFrame:
     """Means by category and, with a null category turned to ``all``, over everything; questions that
     failed count as zeros."""

@@ -347,7 +347,18 @@ def structural_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunk.chunk_files(src.classified(files))
 
 
-@query()
+# Serialised with an indent of two; an order over the budget gives one part per line, under its key.
+# The list below the key has a budget of its own, 17 less, but is indented by less: 10 for each line.
+_LINE = "'{{' || chr(10) || '{0}  \"l_linenumber\": ' || l_linenumber || ',' || chr(10) || '{0}  \"l_partkey\": ' || l_partkey || ',' || chr(10) || '{0}  \"l_quantity\": ' || l_quantity || chr(10) || '{0}}}'"
+_UNDER_KEY = "'{' || chr(10) || '  \"lines\": [' || chr(10) || '    ' || x || chr(10) || '  ]' || chr(10) || '}'"
+
+
+@query(
+    f"WITH l AS (SELECT l_orderkey AS order_key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS i, {_LINE.format('    ')} AS line FROM lineitem), "
+    f"w AS (SELECT order_key, count(*) AS n, {_UNDER_KEY.replace('x', 'string_agg(line, chr(44) || chr(10) || chr(32) || chr(32) || chr(32) || chr(32) ORDER BY i)')} AS whole FROM l GROUP BY order_key) "
+    "SELECT order_key, CAST(0 AS INTEGER) AS part, CAST(1 AS INTEGER) AS parts, whole AS content FROM w WHERE length(whole) <= 300 + 10 * n "
+    f"UNION ALL SELECT order_key, CAST(i AS INTEGER), CAST(n AS INTEGER), {_UNDER_KEY.replace('x', 'line')} FROM l JOIN w USING (order_key) WHERE length(whole) > 300 + 10 * n"
+)
 def json_partition(spark: SparkSession, d: str) -> DataFrame:
     """Every order with its lines as one JSON document, cut to a small budget."""
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))
@@ -420,7 +431,21 @@ def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query()
+# The texts of a question's documents, and what is spent after each: the first counts its texts twice
+# and its heading once. Ends are running totals of lengths within a document.
+_CONTEXT = (
+    "hit AS (SELECT query_id, doc_id FROM reranked), txt AS (SELECT query_id, doc_id, chunk_index, '  [Part ' || (chunk_index + 1) || ' of ' || total || ']' || chr(10) || '  ' || content || chr(10) AS t FROM hit JOIN lines USING (doc_id)), "
+    "run AS (SELECT *, CAST(sum(length(t)) OVER (PARTITION BY query_id, doc_id ORDER BY chunk_index) AS BIGINT) AS e FROM txt), "
+    "held AS (SELECT query_id, doc_id, 'From \"doc-' || doc_id || '\":' || chr(10) AS head, list({'t': t, 'e': e} ORDER BY chunk_index) AS xs FROM run GROUP BY query_id, doc_id), "
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS i FROM held), "
+    "opened AS (SELECT query_id, i, head, list_filter(xs, lambda x: 2 * x.e - length(x.t) + length(head) <= 40000) AS kept FROM numbered WHERE i = 1), "
+    "shown AS (SELECT query_id, i, coalesce(list_max(list_transform(kept, lambda x: x.e)), 0) AS spent, head || list_aggregate(list_prepend('', list_transform(kept, lambda x: x.t)), 'string_agg', '') AS block FROM opened "
+    "UNION ALL SELECT query_id, i, spent + coalesce(list_max(list_transform(kept, lambda x: x.e)), 0), head || list_aggregate(list_prepend('', list_transform(kept, lambda x: x.t)), 'string_agg', '') FROM "
+    "(SELECT s.query_id, n.i, n.head, s.spent, list_filter(n.xs, lambda x: s.spent + x.e <= 40000) AS kept FROM shown s JOIN numbered n ON n.query_id = s.query_id AND n.i = s.i + 1 WHERE s.spent < 40000))"
+)
+
+
+@query(f"WITH RECURSIVE {r.HYBRID}, {r.RERANK}, {r.LINES}, {_CONTEXT}, c AS (SELECT query_id, string_agg(block, chr(10) || '---' || chr(10) || chr(10) ORDER BY i) AS context FROM shown GROUP BY query_id) SELECT query_id, CAST(length(context) AS INTEGER) AS n_chars, sha256(context) AS context_sha256 FROM c")
 def context_block(spark: SparkSession, d: str) -> DataFrame:
     """Context of every question: all the lines of its reranked documents, within the cap."""
     hits = _reranked(spark, d).select("query_id", "doc_id")
@@ -512,6 +537,55 @@ def listing_filter(spark: SparkSession, d: str) -> DataFrame:
     return connector.eligible(rows).select("file_id", "name", "mime_type")
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS file_id, strftime(CASE WHEN o_orderstatus = 'P' AND o_orderpriority <> '5-LOW' THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END, '%Y-%m-%d') AS last_modified FROM orders WHERE o_orderstatus <> 'O' OR o_orderpriority <> '5-LOW'")
+def sync_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """What is stored after a synchronisation: changed and new files from the listing, the rest as it was."""
+    listing, stored = _listing(table(spark, d, "orders")), _stored(spark, d)
+    return sync.replaced(stored, listing, sync.actions(listing, stored))
+
+
+def _done(spark: SparkSession, d: str) -> DataFrame:
+    """Actions of which every new file of a key that seven divides failed."""
+    done = sync.actions(_listing(table(spark, d, "orders")), _stored(spark, d))
+    failed = (F.col("action") == "new") & (F.col("file_id").cast("bigint") % 7 == 0)
+    return done.withColumn("error", F.when(failed, F.concat(F.lit("no access to "), F.col("file_id"))))
+
+
+_FAILED = f"a AS ({_SYNC}), f AS (SELECT *, CASE WHEN action = 'new' AND CAST(file_id AS BIGINT) % 7 = 0 THEN 'no access to ' || file_id END AS error FROM a)"
+
+
+@query(f"WITH {_FAILED} SELECT count(*) AS total, count(*) FILTER (error IS NULL AND action = 'new') AS added, count(*) FILTER (error IS NULL AND action = 'changed') AS updated, count(*) FILTER (error IS NULL AND action = 'unchanged') AS skipped, count(error) AS failed FROM f")
+def sync_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Counters of a synchronisation in which files fail: these are no more than failed."""
+    return sync.summary(_done(spark, d))
+
+
+@query(f"WITH {_FAILED} SELECT file_id, error FROM f WHERE error IS NOT NULL ORDER BY file_id LIMIT {sync.SHOWN_ERRORS}")
+def sync_errors(spark: SparkSession, d: str) -> DataFrame:
+    """The errors that a report shows."""
+    return sync.first_errors(_done(spark, d))
+
+
+@query(f"WITH {r.FILES} SELECT doc_id, string_split(path, '/')[1] AS category FROM files")
+def corpus_category(spark: SparkSession, d: str) -> DataFrame:
+    """The category of every file of a corpus: its first folder below the root."""
+    root = F.lit("/data/corpus")
+    return r.files(spark, d).select("doc_id", cl.top_category(F.concat(root, F.lit("/"), F.col("path")), root).alias("category"))
+
+
+@query(f"WITH {r.FILES} SELECT doc_id, contains(lower(path), lower({r.sql_list(r.NAMES)}[(doc_id // 2) % {len(r.NAMES)} + 1])) OR contains(lower(hint), lower({r.sql_list(r.NAMES)}[(doc_id // 2) % {len(r.NAMES)} + 1])) AS found FROM files")
+def filename_match(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an expected file name stands in a document's path or hint."""
+    expected = r._pick(r.NAMES, F.floor(F.col("doc_id") / 2))
+    return r.files(spark, d).select("doc_id", cl.filename_matches(expected, F.col("path"), F.col("hint")).alias("found"))
+
+
+@query("SELECT doc_id, length(text) * 0.25 > 14000 AS warn FROM documents")
+def prompt_warning(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a prompt of every document's text would be too long for the model."""
+    return table(spark, d, "documents").select("doc_id", models.prompt_is_long(F.col("text")).alias("warn"))
+
+
 # -- evaluation
 
 
@@ -533,6 +607,22 @@ def eval_by_category(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.by_category(_scored(spark, d), r.vector_questions(spark, d).select("query_id", F.col("label").alias("category")))
 
 
+_ANSWER = f"{r.sql_list(samples.ANSWERS)}[query_id % {len(samples.ANSWERS)} + 1]"
+
+
+@query(
+    f"{_EVAL}, a AS (SELECT query_id, CASE WHEN query_id % 3 = 0 THEN 'refusal' ELSE CAST(label AS VARCHAR) END AS category, recall, mrr, hit, CASE WHEN regexp_matches({_ANSWER}, '(?i)" + "|".join(x.replace("'", "''") for x in t.REFUSALS) + "') THEN 1 ELSE 0 END AS refused FROM s), "
+    "b AS (SELECT category, CASE WHEN category = 'refusal' THEN refused ELSE recall END AS recall, CASE WHEN category = 'refusal' THEN refused ELSE mrr END AS mrr, CASE WHEN category = 'refusal' THEN refused ELSE hit END AS hit FROM a) "
+    "SELECT CASE WHEN grouping(category) = 1 THEN 'all' ELSE category END AS category, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(hit), 6) AS hit_rate FROM b GROUP BY GROUPING SETS ((), (category))"
+)
+def eval_refusals(spark: SparkSession, d: str) -> DataFrame:
+    """Means by category where every third question should be refused: these go by the answer."""
+    category = F.when(F.col("query_id") % 3 == 0, evaluate.REFUSAL).otherwise(F.col("label").cast("string"))
+    asked = r.vector_questions(spark, d).select("query_id", category.alias("category"), r._pick(tuple(samples.ANSWERS), F.col("query_id")).alias("answer"))
+    scored = evaluate.with_refusals(_scored(spark, d), asked)
+    return evaluate.by_category(scored, asked.select("query_id", "category"))
+
+
 @query(f"{_EVAL} SELECT query_id // 4 AS trace_id, count(*) AS n_turns, CAST(sum(hit) AS BIGINT) AS turn_hits, min(hit) AS all_hit FROM s GROUP BY query_id // 4")
 def eval_traces(spark: SparkSession, d: str) -> DataFrame:
     turns = r.vector_questions(spark, d).select("query_id", F.floor(F.col("query_id") / 4).cast("bigint").alias("trace_id"))

@@ -395,3 +395,11 @@ def test_answer_questions_over_all_documents(spark):
         want[q.query_id] = (len(top), hashlib.sha256(text.encode()).hexdigest())
     assert blind > 0
     assert {k: (r.n_sources, r.context_sha256) for k, r in got.items()} == want
+
+
+def test_refusals_go_by_the_answer(spark):
+    scored = spark.createDataFrame([(1, 0.0, 0.0, 0), (2, 1.0, 0.5, 1), (3, 0.5, 1.0, 1), (4, 0.0, 0.0, 0), (5, 1.0, 1.0, 1)], "query_id bigint, recall double, mrr double, hit int")
+    asked = spark.createDataFrame([(1, "refusal", "I could not find this information in the available documents."), (2, "refusal", "The port is 8080."), (3, "runbook", None), (4, "refusal", None)], "query_id bigint, category string, answer string")
+    got = {r.query_id: (r.recall, r.mrr, r.hit) for r in evaluate.with_refusals(scored, asked).collect()}
+    assert got == {1: (1.0, 1.0, 1), 2: (0.0, 0.0, 0), 3: (0.5, 1.0, 1), 4: (0.0, 0.0, 0), 5: (1.0, 1.0, 1)}
+    assert evaluate.with_refusals(scored.limit(0), asked).schema.names == scored.columns

@@ -91,3 +91,8 @@ def test_oversize_code_is_cut_between_statements():
     assert len(chunks) > 3 and all(len(c.text.split("\n\n", 1)[1]) <= 1000 for c in chunks)
     assert sum(c.text.count("step") for c in chunks) == 300
     assert chunks[0].name == f"big [part 1/{len(chunks)}]"
+
+
+def test_equal_spans_stay():
+    a, b, c = scan.Span(0, 9), scan.Span(0, 9), scan.Span(2, 5)
+    assert scan.outermost([c, a, b]) == [a, b]
