@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from lodestone import schema
 from lodestone.functions import classify as cl
 from lodestone.operators import chat, chunk, evaluate, keyword, models, retrieve, sync, vector
-from lodestone.sources import connector, files
+from lodestone.sources import connector, files, store
 
 
 def plan(df):
@@ -403,3 +403,16 @@ def test_refusals_go_by_the_answer(spark):
     got = {r.query_id: (r.recall, r.mrr, r.hit) for r in evaluate.with_refusals(scored, asked).collect()}
     assert got == {1: (1.0, 1.0, 1), 2: (0.0, 0.0, 0), 3: (0.5, 1.0, 1), 4: (0.0, 0.0, 0), 5: (1.0, 1.0, 1)}
     assert evaluate.with_refusals(scored.limit(0), asked).schema.names == scored.columns
+
+
+def test_a_changed_file_leaves_its_neighbours(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    docs = lambda *rows: spark.createDataFrame([(i, s, t, "corpus", None) for i, s, t in rows], "id string, source string, title string, source_type string, conversation_id string")
+    parts = lambda *rows: spark.createDataFrame(list(rows), "document_id string, chunk_index int, content string")
+    store.upsert_corpus(docs(("a", "01", "A"), ("b", "01", "B"), ("c", "two", "C"), ("n", None, "N")), parts(("a", 0, "a0"), ("a", 1, "a1"), ("b", 0, "b0"), ("c", 0, "c0"), ("n", 0, "n0")), root)
+    store.upsert_corpus(docs(("a", "01", "A2"), ("d", "01", "D"), ("m", None, "M")), parts(("a", 0, "new"), ("d", 0, "d0"), ("m", 0, "m0")), root)
+    store.upsert_corpus(docs(), parts(), root)
+    got = spark.read.schema("id string, title string, source string").parquet(root + "/documents")
+    assert {(r.id, r.title, r.source) for r in got.collect()} == {("a", "A2", "01"), ("b", "B", "01"), ("d", "D", "01"), ("c", "C", "two"), ("n", "N", None), ("m", "M", None)}
+    _, kept = store.read_corpus(spark, root)
+    assert sorted((r.document_id, r.chunk_index, r.content) for r in kept.collect()) == [("a", 0, "new"), ("b", 0, "b0"), ("c", 0, "c0"), ("d", 0, "d0"), ("m", 0, "m0"), ("n", 0, "n0")]
