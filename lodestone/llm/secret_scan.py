@@ -18,6 +18,8 @@ from . import textkit as tk
 from .common import ensure_workers, looked_up, materialise, unclashing
 
 RULES_VERSION = "base-1"
+#: Spans of a hot blob that may be broadcast.
+SHORT_BYTES = 1 << 16
 #: Commits that the query deals its documents to.
 COMMITS = 3
 # The kinds in order, their patterns and least lengths (of group 2, the match, the match).
@@ -84,14 +86,17 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: str = RULES_VERSION, ke
     """Findings of every path from the ledger: ``keep`` columns (doc_id by default), ``blob``,
     ``spans`` and counts; kept columns of these names give way. A null text is the empty blob;
     repeated paths each get their row; a blob that the ledger lacks gets nulls. A blob of very many
-    paths is looked up by broadcast."""
+    paths is looked up by broadcast, if its spans take no more than ``SHORT_BYTES``; else by a shuffle."""
     added = ["blob", "spans", *(f"n_{k}" for k in KINDS)]
     keep = unclashing(keep or ["doc_id"], *added, "__paths")
     at = materialise(paths.select(*keep, blob_of().alias("blob")), "paths")
     entries = ledger.where(F.col("rules") == rules).drop("rules")
     hits = entries.groupBy("blob").agg(F.first("spans").alias("spans"), *[F.first(f"n_{k}").alias(f"n_{k}") for k in KINDS])
     held = at.groupBy("blob").agg(F.count("*").alias("__paths"))
-    held = materialise(held.join(hits, "blob", "left"), "held")
+    held = held.join(hits, "blob", "left")
+    # of fewer than a thousand hot blobs, so no more than 64 MB are broadcast
+    short = F.coalesce(F.octet_length("spans"), F.lit(0)) <= SHORT_BYTES
+    held = materialise(held.withColumn("__paths", F.when(short, F.col("__paths")).otherwise(F.lit(0))), "held")
     n, most = held.agg(F.coalesce(F.sum("__paths"), F.lit(0)), F.coalesce(F.max("__paths"), F.lit(0))).first()
     found = looked_up(at, held, ["blob"], "__paths", n, most)
     return found.select(*keep, *added)

@@ -239,3 +239,15 @@ def test_queries_are_whole(spark):
     n = spark.read.parquet(f"{SF}/documents.parquet").count()
     for q in (queries.op2_quality, queries.op4_secret_scan, queries.op6_language_id):
         assert q(spark, SF).count() == n
+
+
+def test_hot_blobs_of_long_spans(spark, monkeypatch):
+    """Hot blobs are looked up by broadcast where their spans are short, else by a shuffle."""
+    from lodestone.llm import common, secret_scan
+
+    texts = ["token=abcdefgh"] * 40 + ["secret: 12345678 " * 9] * 50 + [None] * 30 + ["AKIA" + "Z" * 20, "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = sorted(map(tuple, secret_scan.report(docs).collect()))
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(secret_scan, "SHORT_BYTES", 40)
+    assert sorted(map(tuple, secret_scan.report(docs).collect())) == want and len(want) == len(texts)
