@@ -281,6 +281,11 @@ def html_parse(spark: SparkSession, d: str) -> DataFrame:
 # -- readers of one text, over whole tables
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Four parts for every core: few bytes are read in one or two tasks, however long each row takes."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _mapped(rows: DataFrame, key: str, fn) -> DataFrame:
     """``key, got``: ``fn`` of the text in ``input``, on the workers."""
     return chunk._flat_map(rows.select(key, "input"), [key], "got string", lambda row: [(fn(row["input"]),)])
@@ -311,7 +316,7 @@ def _first_header(fmt: str, filename: str):
 @query("SELECT c_custkey AS custkey, CASE c_custkey % 3 WHEN 0 THEN 'Kubernetes Deployment \"c' || c_custkey || '\" in namespace \"' || lower(c_mktsegment) || '\". Configures: replica count.' WHEN 1 THEN 'Kubernetes ConfigMap \"c' || c_custkey || '\" in namespace \"' || lower(c_mktsegment) || '\". Configures: keys: name, nation' || c_nationkey || '.' ELSE 'YAML configuration with top-level keys: customer, nation' || c_nationkey || '.' END AS got FROM customer")
 def yaml_header(spark: SparkSession, d: str) -> DataFrame:
     """Every customer as a manifest, a map of settings or plain YAML."""
-    c = table(spark, d, "customer")
+    c = _spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
     k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string")
     meta = F.concat(F.lit("\nmetadata:\n  name: c"), k, F.lit("\n  namespace: "), F.lower("c_mktsegment"))
     texts = [
@@ -329,7 +334,7 @@ def hcl_header(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
     resource = F.concat(F.lit('resource "kind_'), n, F.lit('" "s'), k, F.lit('" {\n  balance = 1 # } no end\n  nation'), n, F.lit(' = "{"\n  tags {\n    a = 1\n  }\n}\n'))
     text = F.when(F.col("s_suppkey") % 2 == 0, resource).otherwise(F.concat(F.lit('variable "s'), k, F.lit('" {}\n')))
-    return _mapped(table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), text.alias("input")), "suppkey", _first_header("terraform", "main.tf"))
+    return _mapped(_spread(table(spark, d, "supplier").select("s_suppkey", "s_nationkey")).select(F.col("s_suppkey").alias("suppkey"), text.alias("input")), "suppkey", _first_header("terraform", "main.tf"))
 
 
 @query("SELECT s_suppkey AS suppkey, 'Puppet block with parameters: version, nation' || s_nationkey || '; declares resources: ' || CASE WHEN s_suppkey % 2 = 0 THEN 'file' ELSE 'package' END || '.' AS got FROM supplier")
@@ -338,7 +343,7 @@ def puppet_header(spark: SparkSession, d: str) -> DataFrame:
     k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
     kind = F.when(F.col("s_suppkey") % 2 == 0, "file").otherwise("package")
     text = F.concat(F.lit("class s"), k, F.lit(" (\n  String $version = '1',\n  $nation"), n, F.lit(" = present,\n) {\n  "), kind, F.lit(" { 'x':\n    ensure => $version,\n  }\n}\n"))
-    return _mapped(table(spark, d, "supplier").select(F.col("s_suppkey").alias("suppkey"), text.alias("input")), "suppkey", _first_header("puppet", "site.pp"))
+    return _mapped(_spread(table(spark, d, "supplier").select("s_suppkey", "s_nationkey")).select(F.col("s_suppkey").alias("suppkey"), text.alias("input")), "suppkey", _first_header("puppet", "site.pp"))
 
 
 @query()

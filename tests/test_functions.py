@@ -141,3 +141,31 @@ def test_csv():
 def test_tables():
     for _, html, want in samples.TABLES:
         assert structure.table_markdown(html) == want
+
+
+def test_yaml_is_read_fast_and_as_the_plain_parser_reads_it(monkeypatch):
+    import random
+    import time
+
+    import yaml
+
+    def read(f, text):
+        try:
+            return repr(list(f(text)))
+        except Exception:
+            return None
+
+    rnd = random.Random(5)
+    tokens = ["a", ": ", "- ", "\n", "\n  ", "'", '"', "#", " #", "1.5", "~", "---\n", "...\n", "é", "<<", "[", "]", "{", "}", ", ", "&a ", "*a", "!", "!!str ", "|", ">", "|-\n", "%YAML 1.2\n", "@", "? ", "\t", "\r\n", "\x85", "﻿", "\x01", "k: v\n"]
+    odd = ["日\t: 1", "a: |#", "'!': !", "﻿﻿", "[" * 5000, "- " * 5000, "? " * 3000]
+    for text in odd + ["".join(rnd.choices(tokens, k=rnd.randint(1, 14))) for _ in range(3000)]:
+        assert read(headers.yaml_documents, text) == read(yaml.safe_load_all, text), text
+
+    texts = [f"apiVersion: v1\nkind: ConfigMap\nmetadata:\n  name: c{i}\ndata:\n  name: 'x'\n" for i in range(300)]
+    start = time.process_time()
+    plain = [list(yaml.safe_load_all(t)) for t in texts]
+    middle = time.process_time()
+    assert [headers.yaml_documents(t) for t in texts] == plain
+    assert not yaml.__with_libyaml__ or time.process_time() - middle < (middle - start) / 2
+    monkeypatch.setattr(headers, "FAST", None)
+    assert [headers.yaml_documents(t) for t in texts] == plain

@@ -89,3 +89,8 @@ def test_words_that_cancel_and_odd_spaces_still_have_vectors(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert canonical(q.embed_documents(spark, str(tmp_path)).toPandas()) == canonical(con.sql(q.ORACLES["embed_documents"]).df())
+
+
+@pytest.mark.parametrize("name", ["yaml_header", "hcl_header", "puppet_header"])
+def test_rows_of_one_small_file_are_spread_over_all_cores(spark, name):
+    assert q.QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
