@@ -12,9 +12,14 @@ from .meet import met
 
 QUERY_BLOCK_BYTES = 8 << 20
 ROW_BLOCK_BYTES = 128 << 20
+#: Rows of a tile and bytes of its vectors, and of their distances from as many queries: a worker's
+#: memory is a few of these, however many queries a block has.
 TILE_ROWS = 4096
+TILE_BYTES = 8 << 20
 #: Distances that agree to so many digits are ties; more is the noise of doubles.
 DIGITS = 12
+#: More than rounding to these moves a distance.
+SLACK = 1e-11
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -42,14 +47,16 @@ class Nearest:
     """Queries of one block (query, vector, conv), all of one width, and the k nearest keys of each."""
 
     def __init__(self, queries: pa.Table, k: int, scoped: bool):
-        rows = [(i, np.array(v, np.float64), c) for i, v, c in zip(*(queries.column(n).to_pylist() for n in ("query", "vector", "conv")), strict=True)]
         self.k, self.scoped = k, scoped
+        queries = queries.combine_chunks()
+        vectors = queries.column("vector").combine_chunks()
+        qid, conv = (queries.column(n).fill_null(-1).to_numpy().astype(np.int64) for n in ("query", "conv"))
+        size = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
         self.by: dict[int, tuple] = {}
-        for width in {len(v) for _, v, _ in rows}:
-            own = [r for r in rows if len(r[1]) == width]
-            q = np.array([v for _, v, _ in own])
-            conv = np.array([-1 if c is None else c for _, _, c in own])
-            self.by[width] = [np.array([i for i, _, _ in own], np.int64), q / np.linalg.norm(q, axis=1, keepdims=True), conv, np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))]
+        for width in set(size.tolist()):
+            own = np.flatnonzero(size == width)
+            q = vectors.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            self.by[width] = (qid[own], q / np.linalg.norm(q, axis=1, keepdims=True), conv[own], np.zeros((len(own), k), np.int64), np.full((len(own), k), np.inf))
 
     def meet(self, b: pa.RecordBatch) -> None:
         col = lambda n: b.column(b.schema.get_field_index(n))
@@ -57,26 +64,46 @@ class Nearest:
         size = np.where(vectors.is_valid().to_numpy(False), pc.list_value_length(vectors).fill_null(0).to_numpy(zero_copy_only=False), 0)
         if self.scoped:
             kind, own = np.array(col("kind").to_pylist(), object), np.array(col("own").to_pylist(), object)
-        for width, state in self.by.items():
-            qid, q, conv, ids, dist = state
+        for width, (_, q, conv, ids, dist) in self.by.items():
             at = np.flatnonzero(size == width)
-            for lo in range(0, len(at), TILE_ROWS):
-                part = at[lo : lo + TILE_ROWS]
+            step = max(1, min(TILE_ROWS, TILE_BYTES // (8 * width)))
+            for lo in range(0, len(at), step):
+                part = at[lo : lo + step]
                 x = vectors.take(pa.array(part)).flatten().fill_null(float("nan")).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
                 n = np.linalg.norm(x, axis=1)
                 ok = (n > 0) & np.isfinite(n)
                 x, part = x[ok] / n[ok, None], part[ok]
-                near = np.round(1 - q @ x.T, DIGITS)
-                if self.scoped:
-                    near[~((kind[part] == "corpus")[None, :] | ((kind[part] == "attachment")[None, :] & (own[part][None, :] == conv[:, None])))] = np.inf
-                ids = np.concatenate([ids, np.broadcast_to(keys[part], near.shape)], axis=1)
-                dist = np.concatenate([dist, near], axis=1)
-                order = np.lexsort((ids, dist), axis=1)[:, : self.k]
-                ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
-            state[3:] = ids, dist
+                if not len(part):
+                    continue
+                some = max(1, TILE_BYTES // (8 * len(part)))
+                for first in range(0, len(q), some):
+                    here = slice(first, first + some)
+                    near = q[here] @ x.T
+                    np.subtract(1, near, out=near)
+                    if self.scoped:
+                        near[~((kind[part] == "corpus")[None, :] | ((kind[part] == "attachment")[None, :] & (own[part][None, :] == conv[here, None])))] = np.inf
+                    self._keep(near, keys[part], ids[here], dist[here])
+
+    def _keep(self, near: np.ndarray, keys: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        """Put a tile's distances into the best of its queries, in place. Only what may be among these is
+        rounded and sorted: as near as the last of them, or as the tile's own k-th."""
+        k, last = self.k, dist[:, -1]
+        if near.shape[1] > k and np.isinf(last).any():
+            last = np.fmin(last, np.partition(near, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero(near <= np.minimum(last + SLACK, np.finfo(np.float64).max)[:, None])
+        if not len(i):
+            return
+        d, key = np.round(near[i, j], DIGITS), keys[j]
+        touched = np.unique(i)
+        i = np.concatenate([np.repeat(touched, k), i])
+        d, key = np.concatenate([dist[touched].ravel(), d]), np.concatenate([ids[touched].ravel(), key])
+        order = np.lexsort((key, d, i))
+        starts = np.flatnonzero(np.diff(i[order], prepend=-1))  # every query brings k of its own
+        best = order[(starts[:, None] + np.arange(k)).ravel()]
+        ids[touched], dist[touched] = key[best].reshape(-1, k), d[best].reshape(-1, k)
 
     def found(self) -> pa.RecordBatch:
-        parts = [(qid[i], ids[i, j], dist[i, j] + 0.0) for qid, _, _, ids, dist in self.by.values() for i, j in [np.nonzero(np.isfinite(dist))]]
+        parts = [(np.repeat(qid, self.k)[at], ids.ravel()[at], dist.ravel()[at] + 0.0) for qid, _, _, ids, dist in self.by.values() for at in [np.flatnonzero(np.isfinite(dist))]]
         cols = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, t) for c, t in enumerate((np.int64, np.int64, np.float64))]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query_id", "key", "distance"])
 

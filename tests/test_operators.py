@@ -416,3 +416,43 @@ def test_a_changed_file_leaves_its_neighbours(spark, tmp_path):
     assert {(r.id, r.title, r.source) for r in got.collect()} == {("a", "A2", "01"), ("b", "B", "01"), ("d", "D", "01"), ("c", "C", "two"), ("n", "N", None), ("m", "M", None)}
     _, kept = store.read_corpus(spark, root)
     assert sorted((r.document_id, r.chunk_index, r.content) for r in kept.collect()) == [("a", 0, "new"), ("b", 0, "b0"), ("c", 0, "c0"), ("d", 0, "d0"), ("m", 0, "m0"), ("n", 0, "n0")]
+
+
+def test_a_tile_is_small_however_many_queries_a_block_has():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(2)
+    q, x = rnd.normal(size=(5000, 8)), rnd.normal(size=(4096, 8))
+    asked = pa.table({"query": pa.array(range(len(q)), pa.int64()), "vector": pa.array(list(q), pa.list_(pa.float64())), "conv": pa.nulls(len(q), pa.int64())})
+    block = vector.Nearest(asked, 25, False)
+    batch = pa.record_batch({"key": pa.array(range(len(x)), pa.int64()), "vector": pa.array(list(x), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    block.meet(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 128 << 20
+    got = block.found().to_pandas()
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    want = np.sort(np.argsort(np.round(1 - unit(q) @ unit(x).T, 12), axis=1, kind="stable")[:, :25], axis=1)
+    assert np.array_equal(np.array(got.sort_values(["query_id", "key"]).key).reshape(-1, 25), want)
+
+
+def test_tiles_of_any_size_find_the_same(monkeypatch):
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    v = rnd.integers(-2, 3, (300, 3)).astype(float)  # many ties, some zero
+    kinds, own = rnd.choice(["corpus", "attachment", "other"], 300).tolist(), rnd.integers(0, 3, 300).tolist()
+    asked = pa.table({"query": pa.array(range(20), pa.int64()), "vector": pa.array(list(rnd.normal(size=(20, 3)).round() + 0.5), pa.list_(pa.float64())), "conv": pa.array(rnd.integers(0, 3, 20), pa.int64())})
+    batch = pa.record_batch({"key": pa.array(rnd.permutation(300), pa.int64()), "vector": pa.array(list(v), pa.list_(pa.float64())), "kind": kinds, "own": pa.array(own, pa.int64())})
+    for scoped in (False, True):
+        seen = set()
+        for rows, size in ((4096, 8 << 20), (7, 8 << 20), (50, 900), (1, 8)):
+            monkeypatch.setattr(vector, "TILE_ROWS", rows)
+            monkeypatch.setattr(vector, "TILE_BYTES", size)
+            block = vector.Nearest(asked, 9, scoped)
+            block.meet(batch)
+            seen.add(tuple(sorted(zip(*(c.to_pylist() for c in block.found().columns), strict=True))))
+        assert len(seen) == 1 and len(seen.pop()) == 180
