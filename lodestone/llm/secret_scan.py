@@ -44,13 +44,13 @@ LEDGER = "blob string, rules string, spans string, n_assign bigint, n_access big
 def _scan_blobs(rules: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            blobs, texts = (b.column(b.schema.get_field_index(k)).to_pylist() for k in ("blob", "text"))
+            blobs, texts = (b.column(b.schema.get_field_index(k)) for k in ("blob", "text"))
             spans, counts = [], []
-            for t in texts:
-                found = scan(t or "")
+            for t in texts:  # one is decoded at a time: a string takes up to four bytes a character
+                found = scan(t.as_py() or "")
                 spans.append(",".join(f"{k}:{s}:{e}" for s, e, k in found))
                 counts.append([sum(k == kind for _, _, k in found) for kind in KINDS])
-            cols = [pa.array(blobs, pa.string()), pa.array([rules] * len(blobs), pa.string()), pa.array(spans, pa.string())]
+            cols = [blobs.cast(pa.string()), pa.array([rules] * len(blobs), pa.string()), pa.array(spans, pa.string())]
             cols += [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays(cols, names=["blob", "rules", "spans", "n_assign", "n_access", "n_hex"])
 

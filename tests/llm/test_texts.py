@@ -251,3 +251,18 @@ def test_hot_blobs_of_long_spans(spark, monkeypatch):
     monkeypatch.setattr(common, "HOT_ROWS", 3)
     monkeypatch.setattr(secret_scan, "SHORT_BYTES", 40)
     assert sorted(map(tuple, secret_scan.report(docs).collect())) == want and len(want) == len(texts)
+
+
+def test_scan_decodes_one_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = "\U0001f600" * 20_000 + " token=abcdefgh"
+    batch = pa.RecordBatch.from_pydict({"blob": [str(i) for i in range(200)], "text": [text] * 199 + [None]})
+    tracemalloc.start()
+    out = pa.Table.from_batches(secret_scan._scan_blobs("r")(iter([batch]))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out["blob"] == batch["blob"].to_pylist() and out["spans"] == ["assign:20001:20015"] * 199 + [""] and out["n_assign"] == [1] * 199 + [0]
+    assert peak < 2_000_000
