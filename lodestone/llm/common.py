@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_workers, shared_dir, table
 
-__all__ = ["components", "discard", "discard_since", "ensure_workers", "looked_up", "materialise", "may_have", "new_path", "packed", "shared_dir", "sieved", "table", "unclashing", "unpacked", "written"]
+__all__ = ["components", "discard", "discard_since", "ensure_workers", "in_few_files", "looked_up", "materialise", "may_have", "new_path", "packed", "shared_dir", "sieved", "table", "unclashing", "unpacked", "written"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -52,6 +52,21 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return out
 
 
+#: Bytes of the input to a file of a table made from it, about.
+FILE_BYTES = 128 << 20
+
+
+def in_few_files(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``rows``, which are small beside the ``source`` they come from, dealt evenly to a partition for
+    each ``FILE_BYTES`` of it, if these are fewer than those of a shuffle; all that is dealt is ``rows``.
+
+    For each file that it writes to a local disk Hadoop starts three programs (chmod), and until it
+    runs each of them shares all the memory of the executor, and may be counted as if it had as much."""
+    size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = max(1, -(-size // FILE_BYTES))
+    return rows.repartition(files) if files < int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by :func:`materialise` that nothing will read again."""
     path = getattr(df, "_lodestone_path", None)

@@ -266,3 +266,31 @@ def test_scan_decodes_one_text_at_a_time():
     tracemalloc.stop()
     assert out["blob"] == batch["blob"].to_pylist() and out["spans"] == ["assign:20001:20015"] * 199 + [""] and out["n_assign"] == [1] * 199 + [0]
     assert peak < 2_000_000
+
+
+def test_ledgers_in_few_files(spark, monkeypatch, tmp_path):
+    """Files of the tables and of the result follow the bytes of the input, not the partitions of a shuffle."""
+    from lodestone.llm import common
+
+    texts = [f"text {i} token=abcdefgh{i}" if i % 3 else "secret: 12345678" for i in range(400)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for file_bytes, files in ((1 << 20, 1), (1 << 10, None), (1, None)):
+            monkeypatch.setattr(common, "FILE_BYTES", file_bytes)
+            mark = common.written()
+            out = secret_scan.report(docs)
+            assert {r.doc_id: r.spans for r in out.collect()} == {i: plain_scan(t) for i, t in enumerate(texts)} and out.count() == len(texts)
+            made = [len(spark.read.parquet(p).inputFiles()) for p in common._WRITTEN[mark:] if "/paths-" not in p]
+            assert len(made) == secret_scan.COMMITS + 1
+            if files:
+                assert made == [files] * len(made) and out.rdd.getNumPartitions() == files
+            else:
+                assert min(made) > 1
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
