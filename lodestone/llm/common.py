@@ -54,16 +54,18 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
 
 #: Bytes of the input to a file of a table made from it, about.
 FILE_BYTES = 128 << 20
+#: The same for tables that are about as large as what they are made from.
+PAIR_BYTES = 8 << 20
 
 
-def in_few_files(rows: DataFrame, source: DataFrame) -> DataFrame:
-    """``rows``, which are small beside the ``source`` they come from, dealt evenly to a partition for
-    each ``FILE_BYTES`` of it, if these are fewer than those of a shuffle; all that is dealt is ``rows``.
+def in_few_files(rows: DataFrame, source: DataFrame, file_bytes: int | None = None) -> DataFrame:
+    """``rows``, made from the ``source``, dealt evenly to a partition for each ``file_bytes`` of it
+    (``FILE_BYTES``, for rows that are small beside it), if these are fewer than those of a shuffle.
 
     For each file that it writes to a local disk Hadoop starts three programs (chmod), and until it
     runs each of them shares all the memory of the executor, and may be counted as if it had as much."""
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    files = max(1, -(-size // FILE_BYTES))
+    files = max(1, -(-size // (file_bytes or FILE_BYTES)))
     return rows.repartition(files) if files < int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
 
 
@@ -130,7 +132,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the edge set is a forest of stars; each round is one written table, so nothing is gathered on
     the driver, and the hub of a large star is looked up by broadcast.
     """
-    cur = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    put = lambda e, name: materialise(in_few_files(e, edges, PAIR_BYTES), name)  # noqa: E731  of no more rows than edges and nodes
+    cur = put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     seen = state(cur)
     for _ in range(max_rounds):
@@ -139,12 +142,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = near.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
         most = near.groupBy("a").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
         large = looked_up(near.where("b > a"), least, ["a"], "n", seen[0], most).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.where("a <> b").distinct(), "stars")
+        large = put(large.where("a <> b").distinct(), "stars")
         # small star: every smaller neighbour of a node, and the node, is hung on the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         # a node has no more rows here than neighbours before
         small = looked_up(large, least, ["a"], "n", seen[0], most).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        nxt = materialise(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        nxt = put(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         discard(cur)
         discard(large)
         cur, before, seen = nxt, seen, state(nxt)

@@ -311,3 +311,24 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {i: 0 for i in range(51)} | {i: 100 for i in range(100, 104)} | {200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_components_in_few_files(spark, monkeypatch, tmp_path):
+    """Files of the tables of a round follow the bytes of the edges, not the partitions of a shuffle."""
+    from lodestone.llm import common
+
+    edges = [(i, i + 1) for i in range(0, 300) if i % 10 != 9] + [(1000, i) for i in range(1001, 1200)]
+    spark.createDataFrame(edges, "a bigint, b bigint").write.parquet(f"{tmp_path}/edges")
+    want = {i: i - i % 10 for i in range(300)} | {i: 1000 for i in range(1000, 1200)}
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    made, kept = [], common.materialise
+    monkeypatch.setattr(common, "materialise", lambda *a: (out := kept(*a), made.append(len(out.inputFiles())))[0])
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.component for r in components(spark.read.parquet(f"{tmp_path}/edges")).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == want and made == [1] * len(made) and len(made) >= 3
